@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauselake.llm.leakage import leaks
 from clauselake.llm.neardup import near_duplicates
 from clauselake.session import table
 
@@ -21,4 +22,17 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d).groups().withColumnRenamed("id", "clause_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
+def _p6(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", min_run=20).withColumnRenamed("id", "doc_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """For each leaked item: documents, the longest run and the largest share of its shingles in one document."""
+    return _p6(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("run_words").alias("longest_run"), F.max("containment").alias("max_containment"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_items)}
