@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.llm.leakage import leaks
 from clauselake.llm.neardup import near_duplicates
+from clauselake.llm.splitting import split_oversized
 from clauselake.session import table
 
 
@@ -22,6 +23,23 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d).groups().withColumnRenamed("id", "clause_id")
 
 
+DOCUMENT_LIMIT, CLAUSE_LIMIT, OVERLAP = 12_000, 2_400, 200
+
+
+def _p3(spark: SparkSession, d: str) -> DataFrame:
+    docs = split_oversized(table(spark, d, "documents"), "document_id", "file_text", DOCUMENT_LIMIT, OVERLAP)
+    clauses = split_oversized(table(spark, d, "clauses"), "clause_id", "clause_text", CLAUSE_LIMIT, OVERLAP)
+    return docs.select(F.lit("documents").alias("tab_name"), "*").unionAll(clauses.select(F.lit("clauses").alias("tab_name"), "*"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p3(spark, d).where("n_pieces > 1").select("tab_name", "row_key", "finest_cut")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _p3(spark, d).select("tab_name", "row_key", F.inline("pieces"))
+
+
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", min_run=20).withColumnRenamed("id", "doc_id")
 
@@ -35,4 +53,4 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("run_words").alias("longest_run"), F.max("containment").alias("max_containment"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_items)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items)}

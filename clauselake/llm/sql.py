@@ -1,3 +1,17 @@
 """DuckDB statements for queries of the operators for training data."""
 
-SQL: dict[str, str] = {}
+
+def _p3(tab: str, k: str, text: str, limit: int) -> str:
+    trimmed = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+    return rf"""
+SELECT '{tab}' AS tab_name, row_key, CASE
+  WHEN len(list_filter(paragraphs, lambda x: length({trimmed}) > {limit})) = 0 THEN 'paragraph'
+  WHEN len(list_filter(string_split(array_to_string(list_transform(paragraphs, lambda x: regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g')), chr(1)), chr(1)), lambda x: length({trimmed}) > {limit})) = 0 THEN 'sentence'
+  WHEN len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: length(x) > {limit})) = 0 THEN 'word' ELSE 'char' END AS finest_cut
+FROM (SELECT row_key, t, regexp_split_to_array(t, '\f|(^|\n)([ \t\r]*(\n|$))+') AS paragraphs
+  FROM (SELECT min({k}) AS row_key, max({text}) AS t FROM {tab} WHERE length({text}) > {limit} GROUP BY lower(trim({k}, ' \t'))))"""
+
+
+SQL: dict[str, str] = {
+    "p3_found": _p3("documents", "document_id", "file_text", 12_000) + " UNION ALL " + _p3("clauses", "clause_id", "clause_text", 2_400),
+}
