@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.llm.leakage import leaks
+from clauselake.llm.mixing import Mixer
 from clauselake.llm.neardup import near_duplicates
 from clauselake.llm.splitting import split_oversized
 from clauselake.session import table
@@ -53,4 +54,23 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return _p6(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("run_words").alias("longest_run"), F.max("containment").alias("max_containment"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items)}
+def _p7(spark: SparkSession, d: str) -> Mixer:
+    return Mixer(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).shortages().select("mix_name", "source")
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).selection().withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).shares()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items, p7_found, p7_selection, p7_shares)
+}
