@@ -8,37 +8,43 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
-_KEEP = 1_000_000  # hashes kept by a worker before it starts afresh
-_known: dict[str, int] = {}
+_KEEP = 1_000_000  # chunks kept by a worker before it starts afresh
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+def words(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
+
+
+class Chunks(dict):
+    """Hashes of the words of each chunk between white space; most chunks of a text were seen before."""
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
         if len(self) > _KEEP:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
+        v = self[chunk] = self.hashes(chunk)
+        return v
 
-_hashes = _Hashes()
+    def hashes(self, chunk: str) -> tuple[int, ...]:
+        return tuple(map(xxhash.xxh3_64_intdigest, WORD.findall(chunk)))
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+_chunks = Chunks()
 
 
 def hashed(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts one after another, and the number of words of each text."""
-    get, out, sizes = _hashes.__getitem__, [], []
+    out, sizes, before = [], [], 0
     for t in texts:
-        w = words(t)
-        sizes.append(len(w))
-        out.extend(map(get, w))
+        if t:
+            out.extend(chain.from_iterable(map(_chunks.__getitem__, t.lower().split())))
+        sizes.append(len(out) - before)
+        before = len(out)
     return np.array(out, dtype=np.uint64), np.array(sizes, dtype=np.int64)
 
 
