@@ -9,6 +9,7 @@ from clauselake.llm.leakage import leaks
 from clauselake.llm.mixing import Mixer
 from clauselake.llm.neardup import near_duplicates
 from clauselake.llm.splitting import split_oversized
+from clauselake.llm.toxicity import CATEGORIES, fit_models, with_scores
 from clauselake.session import table
 
 
@@ -70,7 +71,27 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).shares()
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a score for each category."""
+    docs = table(spark, d, "documents")
+    models = fit_models(docs, "doc_id", "text", table(spark, d, "content_labels"), "doc_id", "verdict")
+    return with_scores(docs, "text", ["doc_id", "source"], models)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    s = p8_scores(spark, d)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("score")) for c in CATEGORIES])).alias("p")
+    return s.select("doc_id", pairs).where("p.score >= 0.5").select("doc_id", "p.category").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the share of them in each category, for each source."""
+    s = p8_scores(spark, d)
+    rates = [F.avg((F.col(c) >= 0.5).cast("double")).alias(f"{c}_rate") for c in CATEGORIES]
+    return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), *rates)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items, p7_found, p7_selection, p7_shares)
+    for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items, p7_found, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)
 }
