@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clauselake.llm.leakage import leaks
 from clauselake.llm.mixing import Mixer
 from clauselake.llm.neardup import near_duplicates
+from clauselake.llm.scans import repair_scans, texts_of
 from clauselake.llm.splitting import split_oversized
 from clauselake.llm.toxicity import CATEGORIES, fit_models, with_scores
 from clauselake.session import table
@@ -42,6 +43,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p3(spark, d).select("tab_name", "row_key", F.inline("pieces"))
 
 
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    docs = texts_of(table(spark, d, "documents"), "documents", "document_id", "file_text")
+    return repair_scans(docs.unionAll(texts_of(table(spark, d, "document_uploads"), "document_uploads", "upload_id", "file_text")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).select("tab_name", "row_key", F.inline("issues"))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as continuous paragraphs; clean texts as they are."""
+    return _p5(spark, d).select("tab_name", "row_key", "text")
+
+
 def _p6(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", min_run=20).withColumnRenamed("id", "doc_id")
 
@@ -93,5 +108,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p3_found, p3_pieces, p6_found, p6_items, p7_found, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_texts, p6_found, p6_items, p7_found, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)
 }
