@@ -4,10 +4,10 @@ A short test passage inside a long document has a tiny Jaccard similarity to the
 both sides are cut into passages of one size, and passages are compared only within their size
 partition: items of at least ``min_run`` words are searched by passages of ``min_run`` words, shorter
 ones (at least ``k`` words) by passages of their own length, one partition for each length present.
-A passage is represented by the MinHash of its k-word shingles, of one hash function; overlapping
-passages mostly share their minimum, so a text keeps about two values for every passage length.
-A passage contained in a document equals one of the document's passages and has its MinHash: no
-contained passage can be missed. Exact shingle containment then verifies each candidate: the longest
+A passage is represented by a band of ``_ROWS`` MinHash values of its k-word shingles; overlapping
+passages mostly share their minima, so a text keeps a few bands for every passage length. A passage
+contained in a document equals one of the document's passages and has its band: no contained passage
+can be missed, and phrases that many texts share seldom supply all minima of a band. Exact shingle containment then verifies each candidate: the longest
 stretch of successive words that document and item have in common must reach the passage length.
 
 Edge cases: null and empty texts, and items shorter than ``k`` words, give no rows; repeated rows of
@@ -21,34 +21,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm import bits
-from clauselake.llm.words import hashed, rolled, signed
+from clauselake.llm.words import hashed, mix, rolled, signed
 from clauselake.session import BROADCAST_ROWS, written, written_rows
 
 
+_ROWS = 3
+
+
 def minima(h: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, MinHash) of every passage of ``length`` words, successive repeats once."""
+    """(text number, MinHash band) of every passage of ``length`` words, successive repeats once."""
     s = rolled(h, k)
     w = length - k + 1
-    if len(s) < w:
+    n = len(s) - w + 1
+    if n <= 0:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    low = s
-    step = 1
-    while step * 2 <= w:  # minima of 1, 2, 4 .. shingles, then of w
-        low = np.minimum(low[: len(low) - step], low[step:])
-        step *= 2
-    low = np.minimum(low[: len(s) - w + 1], low[w - step : w - step + len(s) - w + 1])
+    band = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for row in range(_ROWS):
+            low = mix(s + np.uint64(row + 1)) if row else s
+            step = 1
+            while step * 2 <= w:  # minima of 1, 2, 4 .. shingles, then of w
+                low = np.minimum(low[: len(low) - step], low[step:])
+                step *= 2
+            low = np.minimum(low[:n], low[w - step : w - step + n])
+            band = mix(band * np.uint64(31) + low)
     own = np.repeat(np.arange(len(sizes)), sizes)
-    own, last = own[: len(low)], own[length - 1 : length - 1 + len(low)]
+    own, last = own[:n], own[length - 1 : length - 1 + n]
     inside = own == last
-    own, low = own[inside], low[inside]
-    new = np.ones(len(low), dtype=bool)
-    new[1:] = (low[1:] != low[:-1]) | (own[1:] != own[:-1])
-    return own[new], low[new]
+    own, band = own[inside], band[inside]
+    new = np.ones(len(band), dtype=bool)
+    new[1:] = (band[1:] != band[:-1]) | (own[1:] != own[:-1])
+    return own[new], band[new]
 
 
 def _search(lengths: list[int], k: int, known):
