@@ -44,6 +44,7 @@ def reference_states(
     """refs with a column ``ref_state``. One join for each null mask that the match semantics let through."""
     if match not in ("simple", "full", "partial"):
         raise ValueError(match)
+    refs = refs.drop("ref_state")
     n = len(ref_cols)
     keyed = refs.withColumns({f"__r_q{i}": key(F.col(f"`{c}`")) for i, c in enumerate(ref_cols)})
     mask = reduce(lambda a, b: a + b, [F.when(F.col(f"__r_q{i}").isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(n)])
