@@ -87,7 +87,7 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     out, sizes, before = [], [], 0
     for t in texts:
         if t:
-            t = t.lower()
+            t = t.lower().replace("\r", "\n")
             if _single.search(t):
                 t = _SPACED.sub(lambda m: m[0].replace(" ", ""), t)
             out.extend(chain.from_iterable(map(_sentences.__getitem__, t.replace("\n", " \n ").replace("\f", " \n ").split(" "))))
@@ -181,7 +181,7 @@ def train(texts: list[str], verdicts: list[list[str]], folds: int = 3, seed: int
             y, weight, g = mine.astype(float), (mine | clean[docs]).astype(float), np.empty(n_rows)
             for k in range(folds):
                 inside = fold[docs] != k
-                g[~inside] = fit.score(fit.fit(y, weight * inside))[~inside]
+                g[~inside] = fit.score(fit.fit(y, weight * inside, steps=30))[~inside]
             mine = pos & (g > 0)
         guess[c] = np.where(mine, g, -np.inf)
     strongest = np.max(list(guess.values()), axis=0) if guess else None

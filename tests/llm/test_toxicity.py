@@ -39,6 +39,7 @@ def test_held_out_accuracy_with_wrong_labels():
         truth = [c in k for _, k in test]
         hits = sum(a and b for a, b in zip(truth, p[:, i]))
         assert hits / max(1, sum(truth)) > 0.9 and hits / max(1, p[:, i].sum()) > 0.9, c
+    assert (score(["A quiet day at the desk.\rYou are a filthy door and a liar."], models)[:, 0] >= 0.5).all()
     assert (score(["Shut up you s t u p i d lamp or else", "YOU ARE A F.I.L.T.H.Y DESK AND A LIAR!!!"], models)[:, 0] >= 0.5).all()
 
 
