@@ -11,7 +11,7 @@ from clauselake.functions import arrays as A
 from clauselake.functions import dates as D
 from clauselake.functions import numbers as N
 from clauselake.functions import text as X
-from clauselake.operators import dml, graph, relational, rules, segment
+from clauselake.operators import align, dml, entities, graph, relational, rules, segment
 from clauselake.session import table
 from clauselake.sources import tables
 from clauselake.streaming import jobs
@@ -550,6 +550,48 @@ def value_split(spark, d):
     return table(spark, d, "entities").select("entity_id", F.array_join(A.split_values(F.array_join("aliases", " ; ")), "|").alias("parts"))
 
 
+@query("SELECT event_id, (props ->> 'k')::INTEGER AS k FROM events")
+def value_json_repaired(spark, d):
+    """Each value cut off before its end and in a fence, as models deliver it, then repaired."""
+    broken = F.concat(F.lit("```json\n"), F.expr("substring(props, 1, length(props) - 1)"))
+    return table(spark, d, "events").select("event_id", F.from_json(align.json_repaired(broken), "k int")["k"].alias("k"))
+
+
+# --- mentions ---
+
+_NK = "nullif(trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), '\\b(?:inc|llc|ltd|corp|co|group|company|corporation|limited)\\b', ' ', 'g')), '')"
+
+
+@query(f"""WITH n AS (SELECT entity_id, {_NK.format(c='name')} AS nk FROM entities UNION ALL SELECT entity_id, {_NK.format(c='a')} FROM (SELECT entity_id, unnest(aliases) AS a FROM entities)),
+k AS (SELECT nk, count(DISTINCT entity_id) AS n, min(entity_id) AS entity_id FROM n WHERE nk IS NOT NULL GROUP BY 1)
+SELECT document_id AS id, CASE WHEN n = 1 THEN k.entity_id END AS entity_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution
+FROM documents d LEFT JOIN k ON {_NK.format(c='d.counterparty_name')} = k.nk""")
+def entity_resolution(spark, d):
+    return entities.resolve(table(spark, d, "documents"), "document_id", "counterparty_name", table(spark, d, "entities"), "entity_id", "name", "aliases")
+
+
+_ID = "coalesce(regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g'), '')"
+
+
+@query(f"""WITH r AS (SELECT id, {_ID.format(c='citation')} AS c, {_ID.format(c='jurisdiction')} AS j, list_distinct(list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda x: length(x) > 3)) AS w, effective_from AS ts, status FROM regulatory_sources),
+a AS (SELECT * FROM r WHERE status <> 'active'), b AS (SELECT * FROM r WHERE status = 'active'),
+same AS (SELECT a.id, arg_max(b.id, (coalesce(b.ts, DATE '0001-01-01'), b.id)) AS known_id, coalesce(any_value(a.ts) > max(coalesce(b.ts, DATE '0001-01-01')), false) AS later FROM a JOIN b ON a.c = b.c AND a.j = b.j AND b.c <> '' GROUP BY 1),
+near AS (SELECT a.id, b.id AS known_id, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) AS s FROM a JOIN b ON a.j = b.j WHERE a.id NOT IN (SELECT id FROM same) AND len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) = 1)
+SELECT a.id, coalesce(same.known_id, near.known_id) AS known_id, CASE WHEN same.id IS NOT NULL THEN CASE WHEN same.later THEN 'new_version' ELSE 'duplicate' END WHEN near.id IS NOT NULL THEN 'needs_review' ELSE 'new' END AS outcome
+FROM a LEFT JOIN same ON a.id = same.id LEFT JOIN near ON a.id = near.id""")
+def entity_sources(spark, d):
+    r = table(spark, d, "regulatory_sources")
+    return entities.source_identity(r.where("status <> 'active'"), r.where("status = 'active'"))
+
+
+@query()
+def text_located(spark, d):
+    """Each unit's place in its clause: exact, fuzzy or none."""
+    units = _latest_units(spark, d)
+    return align.located(units, "clause_unit_id", "clause_id", "unit_text", table(spark, d, "clauses"), "clause_id", "clause_text")
+
+
 # --- graph and rules ---
 
 
