@@ -51,29 +51,38 @@ def finest_cut(text: Column, limit: int) -> Column:
     return F.when(_within(paragraphs, limit), "paragraph").when(_within(sentences, limit), "sentence").when(_within(words, limit), "word").otherwise("char")
 
 
-def pieces(text: Column, limit: int, overlap: int) -> Column:
-    """array<struct<piece_no, start_at, overlap, cut, piece_text>>; piece_text is within the limit."""
+def tiles(text: Column, limit: int, overlap: int) -> Column:
+    """The text cut into array elements of at most limit - overlap characters."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
-    tiles = F.regexp_extract_all(text, F.lit(_tiles(limit - overlap)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_tiles(limit - overlap)), F.lit(0))
+
+
+def lookbacks(tile: Column, overlap: int) -> Column:
+    """For each tile what the next piece repeats of it: its tail from the first word that starts there, a tail without one whole."""
     tail = lambda t: F.when(F.length(t) <= overlap, t).otherwise(F.right(t, F.lit(overlap)))
-    # from the first word that starts inside the tail; a tail without one is taken whole
-    word_start = lambda t: F.coalesce(F.nullif(F.regexp_extract(t, rf"(?U){_S}(\S[\s\S]*)\z", 1), F.lit("")), t)
-    lengths = F.transform(tiles, F.length)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    return F.transform(tile, lambda t: F.coalesce(F.nullif(F.regexp_extract(tail(t), rf"(?U){_S}(\S[\s\S]*)\z", 1), F.lit("")), tail(t)) if overlap else F.lit(""))
+
+
+def starts(tile: Column) -> Column:
+    return F.aggregate(F.transform(tile, F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+
+
+def pieces(tile: Column, back: Column, start: Column) -> Column:
+    """array<struct<piece_no, start_at, overlap, cut, piece_text>>, from columns (not expressions: each element reads them)."""
     kind = lambda t, last: (
         F.when(last, "end").when(t.rlike(r"\f\z"), "paragraph").when(t.rlike(rf"(?U)[.!?]{_S}\z"), "sentence").when(t.rlike(rf"(?U){_S}\z"), "word").otherwise("char")
     )
 
     def piece(t: Column, i: Column) -> Column:
-        nxt = F.get(tiles, i + 1)
-        before = F.when(i > 0, word_start(tail(F.get(tiles, i - 1)))).otherwise("") if overlap else F.lit("")
+        nxt = F.get(tile, i + 1)
+        before = F.when(i > 0, F.get(back, i - 1)).otherwise("")
         cut = F.when(nxt.isNotNull() & t.endswith("\n") & nxt.rlike(r"\A[ \t\r]*\n"), "paragraph").otherwise(kind(t, nxt.isNull()))
         return F.struct(
-            (i + 1).alias("piece_no"), (F.get(starts, i) - F.length(before)).alias("start_at"), F.length(before).alias("overlap"),
+            (i + 1).alias("piece_no"), (F.get(start, i) - F.length(before)).alias("start_at"), F.length(before).alias("overlap"),
             cut.alias("cut"), F.concat(before, t).alias("piece_text"))
 
-    return F.transform(tiles, piece)
+    return F.transform(tile, piece)
 
 
 def oversized(df: DataFrame, key_col: str, text_col: str, limit: int) -> DataFrame:
@@ -85,5 +94,8 @@ def oversized(df: DataFrame, key_col: str, text_col: str, limit: int) -> DataFra
 
 def split_oversized(df: DataFrame, key_col: str, text_col: str, limit: int, overlap: int = 200) -> DataFrame:
     """(row_key, finest_cut, n_pieces, pieces) for every text over the limit."""
-    big = oversized(df, key_col, text_col, limit)
-    return big.select("row_key", finest_cut(F.col("text"), limit).alias("finest_cut"), pieces(F.col("text"), limit, overlap).alias("pieces")).withColumn("n_pieces", F.size("pieces"))
+    cut = oversized(df, key_col, text_col, limit).withColumn("tiles", tiles(F.col("text"), limit, overlap))
+    cut = cut.withColumn("back", lookbacks(F.col("tiles"), overlap)).withColumn("starts", starts(F.col("tiles")))
+    return cut.select(
+        "row_key", finest_cut(F.col("text"), limit).alias("finest_cut"), F.size("tiles").alias("n_pieces"),
+        pieces(F.col("tiles"), F.col("back"), F.col("starts")).alias("pieces"))
