@@ -43,17 +43,17 @@ def split_heading(block: Column) -> Column:
     return F.struct(F.coalesce(F.trim(pick(1)), F.lit("")).alias("clause_no"), F.coalesce(pick(2), block).alias("body"))
 
 
-def _blocks(text: Column, heading: Column, combined: bool) -> Column:
-    """Sections: split before headings; what has no heading goes to the section before."""
-    parts = F.filter(F.transform(F.split(text, F.concat(F.lit(r"\n\s*(?="), heading, F.lit(")"))), lambda x: F.btrim(x, F.lit(" \n\r\t"))), lambda x: F.length(x) >= 10)
-    starts = lambda x: F.regexp_like(x, F.concat(F.lit("^(?:"), heading, F.lit(")")))
-    body = F.when((F.size(parts) > 1) & ~starts(F.get(parts, F.lit(0))), F.slice(parts, 2, F.size(parts))).otherwise(parts)
-    if not combined:
-        return body
+def _starts(x: Column, heading: Column) -> Column:
+    return F.regexp_like(x, F.concat(F.lit("^(?:"), heading, F.lit(")")))
+
+
+def _merged(parts: Column, opens: Column) -> Column:
+    """Parts without a heading joined to the one before; opens says for each part whether it has one."""
+    pairs = F.arrays_zip(parts.alias("t"), opens.alias("o"))
     return F.aggregate(
-        body, F.array().cast("array<string>"),
-        lambda acc, x: F.when(starts(x) | (F.size(acc) == 0), F.concat(acc, F.array(x))).otherwise(
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), F.lit("\n\n"), x)))),
+        pairs, F.array().cast("array<string>"),
+        lambda acc, p: F.when(p["o"] | (F.size(acc) == 0), F.concat(acc, F.array(p["t"]))).otherwise(
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), F.lit("\n\n"), p["t"])))),
     )
 
 
@@ -62,7 +62,12 @@ def sections(df: DataFrame, key_col: str, text_col: str, scheme: str = "auto", c
     d = df.where(F.col(text_col).isNotNull()).select(F.col(key_col), F.col(text_col).alias("__t")).withColumn("__clean", drop_page_lines(repair_headings(F.col("__t"))))
     d = d.withColumn("scheme", numbering_scheme(F.concat(F.lit("\n"), "__clean")) if scheme == "auto" else F.lit(scheme))
     heading = F.create_map(*[F.lit(x) for kv in HEADING.items() for x in kv])[F.col("scheme")]
-    d = d.withColumn("__h", heading).withColumn("__b", _blocks(F.concat(F.lit("\n"), "__clean"), F.col("__h"), combined))
+    trimmed = F.transform(F.split(F.concat(F.lit("\n"), "__clean"), F.concat(F.lit(r"\n\s*(?="), F.col("__h"), F.lit(")"))), lambda x: F.btrim(x, F.lit(" \n\r\t")))
+    d = d.withColumn("__h", heading).withColumn("__p", F.filter(trimmed, lambda x: F.length(x) >= 10)).withColumn("__o", F.transform("__p", lambda x: _starts(x, F.col("__h"))))
+    preamble = (F.size("__p") > 1) & ~F.get("__o", F.lit(0))
+    d = d.withColumn("__from", F.when(preamble, 2).otherwise(1))
+    d = d.withColumn("__p", F.slice("__p", F.col("__from"), F.size("__p"))).withColumn("__o", F.slice("__o", F.col("__from"), F.size("__o")))
+    d = d.withColumn("__b", _merged(F.col("__p"), F.col("__o")) if combined else F.col("__p"))
     d = d.withColumn("__b", F.when(F.size("__b") >= 2, F.col("__b")).otherwise(F.filter(F.split("__clean", r"\n\s*\n"), lambda x: F.length(F.trim(x)) >= 10)))
     kept = F.filter(F.array_distinct("__b"), lambda x: F.length(x) >= 30)
     e = d.select(key_col, "scheme", "__t", F.posexplode(kept).alias("p", "block")).withColumn("h", split_heading(F.col("block")))
