@@ -1,11 +1,10 @@
 """Near-duplicate texts by bottom-k sketches from one hash function.
 
 1. Each distinct text keeps the ``sketch`` smallest hashes of its word shingles, in hash order.
-2. Inverted lists: each position of a sketch is posted under a key of successive retained values. A
-   key starts with two values and grows until it holds a rare one (in at most ``rare`` sketches) or
-   three values. A list of the first kind has at most ``rare`` entries. Of the few others, those of more
-   than ``_LONG`` entries are divided by a fourth and a fifth value; what is still longer is compared
-   in blocks, so no task holds an unbounded list.
+2. Inverted lists: each position of a sketch is posted under a key of two successive retained values,
+   whatever the length of the list, so recall does not depend on the size of the collection. A list
+   with a rare value (in at most ``rare`` sketches) has at most ``rare`` entries; the others are
+   compared in blocks, every block with every block, so no task holds an unbounded list.
 3. Every entry carries eight-bit marks of the four retained values on either side. Two entries of one
    list count if the overlap of these stretches of the union sketch is compatible with the threshold
    (expectation less 1.4 standard deviations, at least), and the overlaps of all lists that two texts
@@ -36,8 +35,7 @@ from clauselake.llm.words import mix, shingles, signed
 from clauselake.session import written, written_rows
 
 _SIDE = 4  # marks on either side of a key
-_WIDE = 3  # values in a key without a rare one
-_LONG = 4096  # entries from which a list of such a key is divided by the next value
+_PAIR = 2  # values in a key
 _BLOCK = 1024  # entries compared at once
 _SMALL = 8  # sketches below this size are also posted under single values, and any of those met is evidence enough
 _EVIDENCE = 5  # overlaps of a candidate
@@ -98,37 +96,22 @@ def _poster(hot_map, want_wide: bool):
             rank = _ranks(own)
             at = np.arange(n)
             size = last - (at - rank)
-            keys, done, length, wide = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-            key_, all_hot = mix(v + np.uint64(7)), hot.copy()
+            nxt = np.minimum(at + 1, n - 1)
             with np.errstate(over="ignore"):
-                for l in range(2, _WIDE + 1):
-                    nxt = np.minimum(at + l - 1, n - 1)
-                    inside = at + l <= last
-                    key_ = mix(key_ * np.uint64(31) + v[nxt])
-                    all_hot = all_hot & hot[nxt]
-                    take = ~done & inside & (~all_hot | (l == _WIDE))
-                    keys[take], length[take], wide[take] = key_[take], l, all_hot[take]
-                    done |= take
+                keys = mix(mix(v + np.uint64(7)) * np.uint64(31) + v[nxt])
+            done = (at + _PAIR <= last) & ((hot & hot[nxt]) == want_wide)
             few = size < _SMALL
+            pos, keys, length = at[done], keys[done], np.full(done.sum(), _PAIR)
+            wide = np.ones(len(pos), dtype=np.int32)
             if want_wide:
-                done &= wide
-                pos = np.r_[at[done], at[few]]
-                longer, keys = [], np.r_[keys[done], mix(v[few] ^ np.uint64(0x5151))]
-                with np.errstate(over="ignore"):
-                    for l in (_WIDE, _WIDE + 1):  # the next value, or the end of the sketch
-                        nxt = np.where(pos + l < last[pos], v[np.minimum(pos + l, n - 1)], np.uint64(0))
-                        longer.append(mix((longer[-1] if longer else keys) * np.uint64(31) + nxt))
-                wide = np.r_[np.ones(done.sum(), dtype=np.int32), np.full(few.sum(), 2, dtype=np.int32)]
-                length = np.r_[length[done], np.ones(few.sum(), dtype=np.int64)]
-            else:
-                done &= ~wide
-                pos, keys, length = at[done], keys[done], length[done]
+                pos, keys, length = np.r_[pos, at[few]], np.r_[keys, mix(v[few] ^ np.uint64(0x5151))], np.r_[length, np.ones(few.sum(), dtype=np.int64)]
+                wide = np.r_[wide, np.full(few.sum(), 2, dtype=np.int32)]
             lanes = np.zeros((len(pos), 2 * _SIDE), dtype=np.uint8)
             for i in range(_SIDE):
                 for lane, p, ok in ((i, pos - 1 - i, rank[pos] > i), (_SIDE + i, pos + length + i, pos + length + i < last[pos])):
                     lanes[ok, lane] = mark[p[ok]]
             out = {"lanes": lanes.view("<i8").ravel(), "d": d[own[pos]], "key": signed(keys >> np.uint64(20))}
-            yield pd.DataFrame(out | {"wide": wide, "key4": signed(longer[0]), "key5": signed(longer[1])} if want_wide else out)
+            yield pd.DataFrame(out | {"wide": wide} if want_wide else out)
 
     return run
 
@@ -247,11 +230,7 @@ def near_duplicates(
     hot = sc.broadcast(bits.bitmap(counts.where(F.col("n") > rare).select("b")))
     posts = classes.mapInPandas(_poster(hot, False), "lanes long, d long, key long")
     bounded = posts.repartition("key").sortWithinPartitions("key").mapInPandas(_pairer(threshold, False), "a long, b long, n long")
-    wide = classes.mapInPandas(_poster(hot, True), "lanes long, d long, key long, wide int, key4 long, key5 long")
-    for longer in ("key4", "key5"):
-        n = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        wide = wide.join(n.where(F.col("n") > _LONG), "key", "left").withColumn("key", F.when((F.col("n") > _LONG) & (F.col("wide") == 1), F.col(longer)).otherwise(F.col("key"))).drop("n")
-    wide = written(wide.drop("key4", "key5"), "wide")
+    wide = written(classes.mapInPandas(_poster(hot, True), "lanes long, d long, key long, wide int"), "wide")
     blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
     sized = wide.join(wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("lanes", "d", "key", "wide", blocks.alias("nb"))
     own = F.pmod(F.xxhash64("d"), F.col("nb")).cast("int")

@@ -65,6 +65,15 @@ def test_large_cluster_beyond_the_rare_bound(spark):
     assert agree(found(spark, rows, k=3, threshold=0.5, min_words=40, rare=16), want) and len(want) > 7000
 
 
+def test_recall_does_not_depend_on_how_common_the_values_are(spark):
+    rnd = random.Random(7)
+    base = " ".join(rnd.choice(VOCAB) for _ in range(90))
+    rows = [(f"h{i:03d}", edited(rnd, base, 7)) for i in range(160)]
+    want = brute(rows, 3, 0.5, 40)
+    hot = found(spark, rows, k=3, threshold=0.5, min_words=40, rare=4)
+    assert len(want) > 3000 and hot == found(spark, rows, k=3, threshold=0.5, min_words=40, rare=10_000) and agree(hot, want)
+
+
 def test_copies_groups_and_links(spark):
     base = "the quick brown fox jumps over the lazy dog and then it runs away from here"
     rows = [("b", base), ("a", base), ("a", base), ("c", base.upper() + "!"), ("z", "something else entirely with many other words in it today")]
