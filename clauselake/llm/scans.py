@@ -98,23 +98,24 @@ def word_table(texts: DataFrame) -> DataFrame:
 
 
 def meanings(words: DataFrame, vocabulary_block: int = 100_000, unknown_block: int = 4_000) -> DataFrame:
-    """(word, meant, cost): up to four likely meanings of each unknown word of scanned texts."""
+    """(word, m): likely meanings of each unknown word of scanned texts, up to four, each with its cost and its clean occurrences."""
     known = words.where("n_clean >= 2 AND length(word) <= 64").select("word", "n_clean")
     unknown = words.where("n_clean < 2 AND n_scan > 0 AND length(word) <= 64").select("word")
     nv = max(1, -(-known.count() // vocabulary_block))
     nu = max(1, -(-unknown.count() // unknown_block))
     block = lambda n: F.pmod(F.xxhash64("word"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    v = known.select(block(nv).alias("v"), every(nu).alias("u"), "word", F.lit(True).alias("known"))
-    u = unknown.select(every(nv).alias("v"), block(nu).alias("u"), "word", F.lit(False).alias("known"))
+    v = known.select(block(nv).alias("v"), every(nu).alias("u"), "word", "n_clean", F.lit(True).alias("known"))
+    u = unknown.select(every(nv).alias("v"), block(nu).alias("u"), "word", F.lit(0).cast("long").alias("n_clean"), F.lit(False).alias("known"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         root = trie(pdf.word[pdf.known])
-        rows = [(w, m, c) for w in pdf.word[~pdf.known] for m, c in candidates(root, w) if c <= _most(w)]
-        return pd.DataFrame(rows, columns=["word", "meant", "cost"])
+        n = dict(zip(pdf.word[pdf.known], pdf.n_clean[pdf.known]))
+        rows = [(w, m, c, n[m]) for w in pdf.word[~pdf.known] for m, c in candidates(root, w) if c <= _most(w)]
+        return pd.DataFrame(rows, columns=["word", "meant", "cost", "n_clean"])
 
-    found = v.unionAll(u).groupBy("v", "u").applyInPandas(search, "word string, meant string, cost double")
-    return found.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "meant"))), 1, 4).alias("m"))  # at most four a vocabulary block
+    found = v.unionAll(u).groupBy("v", "u").applyInPandas(search, "word string, meant string, cost double, n_clean long")
+    return found.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "meant", "n_clean"))), 1, 4).alias("m"))  # at most four a vocabulary block
 
 
 def _most(word: str) -> float:
@@ -123,9 +124,9 @@ def _most(word: str) -> float:
 
 
 class Lexicon:
-    """count: clean occurrences of words; meant: likely meanings of unknown words."""
+    """count: clean occurrences of words; meant: likely meanings of unknown words, with cost and clean occurrences."""
 
-    def __init__(self, count: dict[str, int], meant: dict[str, list[tuple[str, float]]]):
+    def __init__(self, count: dict[str, int], meant: dict[str, list[tuple[str, float, int]]]):
         self.count, self.meant = count, meant
         self.seen: dict[str, str] = {}
 
@@ -148,7 +149,7 @@ class Lexicon:
     def best(self, word: str, context: set[str]) -> str:
         options = self.meant[word]
         low = options[0][1]
-        return min((o for o in options if o[1] <= low + 0.01), key=lambda o: (o[0] not in context, -self.count.get(o[0], 0), o[0]))[0]
+        return min((o for o in options if o[1] <= low + 0.01), key=lambda o: (o[0] not in context, -o[2], o[0]))[0]
 
 
 def _is_cut(joined: str, compound: str, mark: str, lex: Lexicon) -> bool:
@@ -252,7 +253,7 @@ def _reader(shared):
                     continue
                 if shared is None:
                     own = [(w["word"], w["n_clean"], w["m"]) for w in r.words]
-                    lex = Lexicon({w: n for w, n, _ in own if n}, {w: [(x["meant"], x["cost"]) for x in m] for w, _, m in own if m is not None and len(m)})
+                    lex = Lexicon({w: n for w, n, _ in own if n}, {w: [(x["meant"], x["cost"], x["n_clean"]) for x in m] for w, _, m in own if m is not None and len(m)})
                 else:
                     lex = shared.value
                 issues, text = read_scan(r.text, lex)
@@ -280,7 +281,7 @@ def repair_scans(texts: DataFrame, max_words: int = 1_000_000) -> DataFrame:
     entries, n = written_rows(words.where("n_clean > 0").select("word", "n_clean").join(found, "word", "full").select("word", F.coalesce("n_clean", F.lit(0)).alias("n_clean"), "m"), "lexicon")
     if n <= max_words:
         rows = entries.collect()  # at most max_words words
-        lex = Lexicon({r.word: r.n_clean for r in rows if r.n_clean}, {r.word: [(m.meant, m.cost) for m in r.m] for r in rows if r.m})
+        lex = Lexicon({r.word: r.n_clean for r in rows if r.n_clean}, {r.word: [(m.meant, m.cost, m.n_clean) for m in r.m] for r in rows if r.m})
         return texts.mapInPandas(_reader(texts.sparkSession.sparkContext.broadcast(lex)), _OUT)
 
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,5 +298,5 @@ def repair_scans(texts: DataFrame, max_words: int = 1_000_000) -> DataFrame:
 
     need = texts.mapInPandas(needed, "tab_name string, row_key string, word string")
     own = need.join(entries, "word").groupBy("tab_name", "row_key").agg(F.collect_list(F.struct("word", "n_clean", "m")).alias("words"))  # the words of one text
-    joined = texts.join(own, ["tab_name", "row_key"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<word:string,n_clean:bigint,m:array<struct<cost:double,meant:string>>>>")))
+    joined = texts.join(own, ["tab_name", "row_key"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<struct<word:string,n_clean:bigint,m:array<struct<cost:double,meant:string,n_clean:bigint>>>>")))
     return joined.mapInPandas(_reader(None), _OUT)

@@ -77,6 +77,13 @@ def test_same_result_without_the_broadcast(spark):
     assert run(spark, rows, max_words=0) == run(spark, rows)
 
 
+def test_commoner_meaning_without_the_broadcast(spark):
+    clean = ("The beard ordered it and the board agreed. " * 2 + "The board met again. ") * 3
+    rows = [("c", clean), ("s", "NOTICE\nThe bcard met again and\nagreed with it.")]
+    for kw in ({}, {"max_words": 0}):
+        assert "The board met again" in run(spark, rows, **kw)["s"][1], kw
+
+
 def test_edge_cases(spark):
     assert run(spark, []) == {}
     assert run(spark, [("s", SCAN)])["s"][0] and all(i != "misread" for _, i in run(spark, [("s", SCAN)])["s"][0])  # nothing clean to compare with
