@@ -111,3 +111,31 @@ def ancestor_pairs(tree: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, distance): every node below every node, from the paths; no shuffle."""
     above = tree.select(F.col("node_id").alias("descendant_id"), "path", F.posexplode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("i", "ancestor_id"))
     return above.select("ancestor_id", "descendant_id", (F.size("path") - 1 - F.col("i")).alias("distance"))
+
+
+def cycle_pairs(tree: DataFrame, df: DataFrame, id_col: str, parent_col: str, created: str = "created_at") -> DataFrame:
+    """(ancestor_id, descendant_id, distance) for the nodes below cycles; every node of the cycle is an ancestor, at its least distance.
+
+    tree: hierarchy of df. Pairs of two nodes of one cycle, which have no end, are left out. One join for
+    each step around the longest cycle.
+    """
+    off = written(tree.where("node_state <> 'tree'"), "off")
+    below = off.where("node_state = 'below_cycle'")
+    parents = latest_parents(df, id_col, parent_col, created).select("k", "parent_k")
+    on = off.where("node_state = 'cycle'").select(key(F.col("node_id")).alias("k"), "node_id").join(parents, "k")
+    on, n_on = written_rows(on, "on")
+    up = on.select("k", F.col("node_id").alias("to_id"), "parent_k")
+    entered = below.select(F.get("path", F.lit(0)).alias("entry")).distinct()
+    walk, rows = written_rows(entered.join(on, F.col("entry") == on.node_id).select("entry", F.lit(0).alias("steps"), F.col("node_id").alias("at_id"), "parent_k"), "walk")
+    walks: list[DataFrame] = []
+    while rows:
+        step = walk.drop("at_id").withColumnRenamed("parent_k", "next_k").join(broadcast_if_small(up, n_on), F.col("next_k") == F.col("k"))
+        step = step.where("to_id <> entry").select("entry", (F.col("steps") + 1).alias("steps"), F.col("to_id").alias("at_id"), "parent_k")
+        walk, rows = written_rows(step, "walk")
+        walks.append(walk)
+    pairs = ancestor_pairs(below)
+    if not walks:
+        return pairs
+    around = reduce(DataFrame.unionAll, walks).select("entry", "steps", "at_id")
+    far = below.select(F.col("node_id").alias("descendant_id"), "depth", F.get("path", F.lit(0)).alias("entry")).join(around, "entry")
+    return pairs.unionAll(far.select(F.col("at_id").alias("ancestor_id"), "descendant_id", (F.col("depth") + F.col("steps")).alias("distance")))

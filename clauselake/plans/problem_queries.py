@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.operators.hierarchy import ancestor_pairs, hierarchy
+from clauselake.operators.hierarchy import ancestor_pairs, cycle_pairs, hierarchy
 from clauselake.operators.references import orphan_report, reference_states, referring_rows
 from clauselake.session import table
 
@@ -63,14 +63,25 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Path from the root for every unit of a tree."""
+    """Path from the root for every unit of a tree; units on or below a cycle are in p4_cycle_paths."""
     t = _p4_tree(spark, d).where("node_state = 'tree'")
     return t.select(F.col("node_id").alias("clause_unit_id"), F.array_join("path", " > ").alias("unit_path"))
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """(ancestor, descendant, distance) for every unit of a tree and every unit below it."""
+    """(ancestor, descendant, distance) for every unit of a tree and every unit below it; units below a cycle are in p4_cycle_descendants."""
     return ancestor_pairs(_p4_tree(spark, d).where("node_state = 'tree'"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_report, p1_composite, p4_found, p4_paths, p4_descendants)}
+def p4_cycle_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Path from the cycle's unit for every unit below a cycle; a unit on a cycle is its own path."""
+    t = _p4_tree(spark, d).where("node_state <> 'tree'")
+    return t.select(F.col("node_id").alias("clause_unit_id"), F.array_join("path", " > ").alias("unit_path"), "node_state")
+
+
+def p4_cycle_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """(ancestor, descendant, distance) for every unit below a cycle: the units between, and every unit of the cycle at its least distance."""
+    return cycle_pairs(_p4_tree(spark, d), table(spark, d, "clause_units"), "clause_unit_id", "parent_unit_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_report, p1_composite, p4_found, p4_paths, p4_descendants, p4_cycle_paths, p4_cycle_descendants)}

@@ -3,7 +3,7 @@ from datetime import datetime as D
 
 from pyspark.sql import functions as F
 
-from clauselake.operators.hierarchy import ancestor_pairs, hierarchy
+from clauselake.operators.hierarchy import ancestor_pairs, cycle_pairs, hierarchy
 
 T = [D(2025, 1, i + 1) for i in range(4)]
 
@@ -61,3 +61,28 @@ def test_long_chain_star_and_pairs(spark):
     pairs = ancestor_pairs(tree)
     assert pairs.where("ancestor_id = 'r'").count() == 62 and pairs.count() == 50 + sum(range(1, 13))
     assert {(x.descendant_id, x.distance) for x in pairs.where("ancestor_id = 'c09'").collect()} == {("c10", 1), ("c11", 2)}
+
+
+def test_pairs_below_cycles(spark):
+    rnd = random.Random(9)
+    parent = {f"n{i:03d}": f"n{rnd.randrange(max(1, i - 30), i + 9):03d}" if i > 5 else None for i in range(200)}
+    parent |= {"s": "s", "Sb": "s ", "c0": "c4"} | {f"c{i}": f"c{i - 1}" for i in range(1, 5)} | {"z": "c2", "y": "z", "x": "c0"}
+    norm = lambda p: p.strip().lower() if p else p
+    up = {norm(k): norm(p) for k, p in parent.items()}
+    up = {k: p if p in up else None for k, p in up.items()}
+    cycle = {k for k in up if (lambda seen: k in seen)(_above(up, k))}
+    want = {(a, k, n) for k in up if k not in cycle and cycle & set(_above(up, k)) for a, n in _above(up, k).items()}
+    df = spark.createDataFrame([(k, p, T[0]) for k, p in parent.items()], "id string, parent string, created_at timestamp")
+    got = cycle_pairs(hierarchy(df, "id", "parent"), df, "id", "parent").collect()
+    assert sorted((norm(r.ancestor_id), norm(r.descendant_id), r.distance) for r in got) == sorted(want) and len(want) > 50
+    assert {("c2", "z", 1), ("c1", "z", 2), ("c3", "z", 5), ("c3", "y", 6), ("c1", "x", 5), ("s", "sb", 1)} <= want
+    assert cycle_pairs(hierarchy(df.limit(0), "id", "parent"), df.limit(0), "id", "parent").count() == 0
+
+
+def _above(up, k):
+    """Every node above k at its least distance."""
+    seen, n = {}, 1
+    while (k := up[k]) and k not in seen:
+        seen[k] = n
+        n += 1
+    return seen
