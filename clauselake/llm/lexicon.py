@@ -8,6 +8,7 @@ state is left. Every vocabulary word within the distance is found.
 from __future__ import annotations
 
 END = ""
+EQUAL = 0.01  # costs this close are the same
 
 #: (read, meant) pairs that scanners confuse; fixed values.
 CONFUSED = [
@@ -85,7 +86,7 @@ def reading_cost(read: str, meant: str, dear: float = 1.0, most: float = 3.0) ->
 
 
 def candidates(root: dict, word: str, keep: int = 4) -> list[tuple[str, float]]:
-    """(word, cost) of the likeliest meanings, cheapest first; all words within the distance are weighed."""
+    """(word, cost) of the likeliest meanings, cheapest first: all of the lowest cost, dearer ones up to ``keep`` in all."""
     near = within(root, word, 1 if len(word) <= 3 else 2)
     ranked = sorted((reading_cost(word, v), v) for v in near)
-    return [(v, c) for c, v in ranked[:keep]]
+    return [(v, c) for i, (c, v) in enumerate(ranked) if i < keep or c <= ranked[0][0] + EQUAL]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.keys import key
 from clauselake.llm.layout import Layout, is_scanned, layout
-from clauselake.llm.lexicon import candidates, reading_cost, trie
+from clauselake.llm.lexicon import EQUAL, candidates, reading_cost, trie
 from clauselake.session import written, written_rows
 
 _LEAD, _TRAIL = "\"'“‘[{", ".,;:?\"'”’)]}"
@@ -98,7 +98,7 @@ def word_table(texts: DataFrame) -> DataFrame:
 
 
 def meanings(words: DataFrame, vocabulary_block: int = 100_000, unknown_block: int = 4_000) -> DataFrame:
-    """(word, m): likely meanings of each unknown word of scanned texts, up to four, each with its cost and its clean occurrences."""
+    """(word, m): all meanings of the lowest cost of each unknown word of scanned texts, each with its cost and its clean occurrences."""
     known = words.where("n_clean >= 2 AND length(word) <= 64").select("word", "n_clean")
     unknown = words.where("n_clean < 2 AND n_scan > 0 AND length(word) <= 64").select("word")
     nv = max(1, -(-known.count() // vocabulary_block))
@@ -115,7 +115,8 @@ def meanings(words: DataFrame, vocabulary_block: int = 100_000, unknown_block: i
         return pd.DataFrame(rows, columns=["word", "meant", "cost", "n_clean"])
 
     found = v.unionAll(u).groupBy("v", "u").applyInPandas(search, "word string, meant string, cost double, n_clean long")
-    return found.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "meant", "n_clean"))), 1, 4).alias("m"))  # at most four a vocabulary block
+    ranked = found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("cost", "meant", "n_clean"))).alias("m"))
+    return ranked.select("word", F.filter("m", lambda x: x["cost"] <= F.get("m", F.lit(0))["cost"] + EQUAL).alias("m"))
 
 
 def _most(word: str) -> float:
@@ -149,7 +150,7 @@ class Lexicon:
     def best(self, word: str, context: set[str]) -> str:
         options = self.meant[word]
         low = options[0][1]
-        return min((o for o in options if o[1] <= low + 0.01), key=lambda o: (o[0] not in context, -o[2], o[0]))[0]
+        return min((o for o in options if o[1] <= low + EQUAL), key=lambda o: (o[0] not in context, -o[2], o[0]))[0]
 
 
 def _is_cut(joined: str, compound: str, mark: str, lex: Lexicon) -> bool:

@@ -84,6 +84,13 @@ def test_commoner_meaning_without_the_broadcast(spark):
         assert "The board met again" in run(spark, rows, **kw)["s"][1], kw
 
 
+def test_all_meanings_of_the_lowest_cost_are_kept(spark):
+    vocab = ["cbcdef", "cbcdof", "cbedcf", "cbodcf", "ebcdcf", "obcdcf"]
+    assert [v for v, _ in candidates(trie(vocab), "cbcdcf")] == vocab
+    rows = [("c", " ".join(vocab * 3)), ("s", "NOTICE\nobcdcf and cbcdcf and\nobcdcf again")]
+    assert run(spark, rows)["s"][1] == "NOTICE\n\nobcdcf and obcdcf and obcdcf again"
+
+
 def test_edge_cases(spark):
     assert run(spark, []) == {}
     assert run(spark, [("s", SCAN)])["s"][0] and all(i != "misread" for _, i in run(spark, [("s", SCAN)])["s"][0])  # nothing clean to compare with
