@@ -2,7 +2,8 @@
 
 The automaton of a word is kept as bit masks, one for each number of errors (the k-error NFA);
 walking the trie from the root steps the automaton by one letter, and a branch ends as soon as no
-state is left. Every vocabulary word within the distance is found.
+state is left. Every vocabulary word within the distance is found. A second walk finds the words that
+differ by listed confusions alone, each counted as one edit however many letters it has.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ CONFUSED = [
     ("1", "l"), ("1", "i"), ("|", "l"), ("|", "i"), ("!", "i"), ("!", "l"), ("0", "o"), ("5", "s"), ("$", "s"), ("@", "a"), ("4", "a"), ("9", "g"), ("6", "b"), ("8", "b"), ("3", "e"),
     ("7", "t"), ("2", "z"), ("(", "c"), ("<", "c"), ("€", "e"), ("ﬁ", "fi"), ("ﬂ", "fl"),
 ]
+CONFUSION = 0.25  # cost of a listed confusion
 _BY_READ: dict[str, list[str]] = {}
 for _r, _m in CONFUSED:
     _BY_READ.setdefault(_r, []).append(_m)
@@ -59,6 +61,32 @@ def within(root: dict, word: str, k: int) -> list[str]:
     return found
 
 
+def readings(root: dict, word: str, most: int) -> set[str]:
+    """All words of the trie of which the word is a reading with at most ``most`` listed confusions."""
+    found: set[str] = set()
+    stack = [(root, 0, 0)]
+    while stack:
+        node, i, used = stack.pop()
+        if i == len(word):
+            if END in node:
+                found.add(node[END])
+            continue
+        if word[i] in node:
+            stack.append((node[word[i]], i + 1, used))
+        if used == most:
+            continue
+        for size in (1, 2):
+            for meaning in _BY_READ.get(word[i : i + size], ()) if i + size <= len(word) else ():
+                at = node
+                for c in meaning:
+                    at = at.get(c)
+                    if at is None:
+                        break
+                else:
+                    stack.append((at, i + size, used + 1))
+    return found
+
+
 def reading_cost(read: str, meant: str, dear: float = 1.0, most: float = 3.0) -> float:
     """Cheapest way to misread ``meant`` as ``read``: 0.25 a known confusion, ``dear`` another edit."""
     n, m = len(read), len(meant)
@@ -79,7 +107,7 @@ def reading_cost(read: str, meant: str, dear: float = 1.0, most: float = 3.0) ->
                     for meaning in _BY_READ.get(read[i : i + size], ()) if i + size <= n else ():
                         if meant.startswith(meaning, j):
                             a, b = i + size, j + len(meaning)
-                            d[a][b] = min(d[a][b], here + 0.25)
+                            d[a][b] = min(d[a][b], here + CONFUSION)
             if j < m:
                 d[i][j + 1] = min(d[i][j + 1], here + dear)
     return d[n][m]
@@ -87,6 +115,6 @@ def reading_cost(read: str, meant: str, dear: float = 1.0, most: float = 3.0) ->
 
 def candidates(root: dict, word: str, keep: int = 4) -> list[tuple[str, float]]:
     """(word, cost) of the likeliest meanings, cheapest first: all of the lowest cost, dearer ones up to ``keep`` in all."""
-    near = within(root, word, 1 if len(word) <= 3 else 2)
+    near = {*within(root, word, 1 if len(word) <= 3 else 2), *readings(root, word, 1 if len(word) <= 3 else 2 if len(word) == 4 else 3)}
     ranked = sorted((reading_cost(word, v), v) for v in near)
     return [(v, c) for i, (c, v) in enumerate(ranked) if i < keep or c <= ranked[0][0] + EQUAL]

@@ -2,8 +2,9 @@
 
 1. Words of all texts are counted (clean and scanned apart). The vocabulary is what clean texts use at
    least twice; other words of scanned texts are unknown.
-2. For each unknown word all vocabulary words within distance 2 (1 for words of up to three letters)
-   are retrieved by Levenshtein automata on a trie, and ranked by the cost of the confusions needed. The
+2. For each unknown word all vocabulary words within distance 2 (1 for words of up to three letters), or
+   within three listed confusions (two for four letters, one for fewer), are retrieved on a trie, and
+   ranked by the cost of the confusions needed; one that needs any other edit is not believed. The
    vocabulary and the unknown words are cut into blocks of bounded size and every block pair is one
    group, so neither has to fit in one task; candidates of all blocks are ranked together.
 3. Each scanned text is read line by line: page numbers and running headers and footers are told by
@@ -120,7 +121,7 @@ def meanings(words: DataFrame, vocabulary_block: int = 100_000, unknown_block: i
 
 
 def _most(word: str) -> float:
-    """Cost up to which a reading is believed: known confusions, and one other edit in a long word without odd signs."""
+    """Cost up to which a reading is believed: two listed confusions, three in a word of over four letters; no other edit, which would rewrite names."""
     return 0.5 if len(word) <= 4 else 0.75
 
 

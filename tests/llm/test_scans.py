@@ -84,6 +84,13 @@ def test_commoner_meaning_without_the_broadcast(spark):
         assert "The board met again" in run(spark, rows, **kw)["s"][1], kw
 
 
+def test_a_confusion_of_two_letters_is_one_edit(spark):
+    root = trie(["commitment", "summary", "am"])
+    assert [candidates(root, w)[0] for w in ("cornrnitrnent", "surnrnary", "arn")] == [("commitment", 0.75), ("summary", 0.5), ("am", 0.25)]
+    rows = [("c", "the summary of it " * 3), ("s", "NOTICE\nthe surnrnary of it\nthe summaxy of it")]
+    assert run(spark, rows)["s"] == ([(2, "misread")], "NOTICE\n\nthe summary of it the summaxy of it")  # x for r is not listed
+
+
 def test_all_meanings_of_the_lowest_cost_are_kept(spark):
     vocab = ["cbcdef", "cbcdof", "cbedcf", "cbodcf", "ebcdcf", "obcdcf"]
     assert [v for v, _ in candidates(trie(vocab), "cbcdcf")] == vocab
