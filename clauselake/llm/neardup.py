@@ -16,7 +16,8 @@ Two sets of similarity J share two successive retained values somewhere with pro
 1 - 0.1 % for J = 0.5 and sketch = 24, and far more surely above. Copies of one text form one class
 and are represented once, so a group of copies costs one sketch whatever its size.
 
-Edge cases: null texts and texts with fewer than ``min_words`` or ``k`` words take part in no pair;
+Edge cases: null texts and texts with fewer than ``min_words`` or ``k`` words take part in no pair, but are members
+(exact copies of a short text are one class, a null text is a class of its own);
 rows repeated under one id count once; an empty table gives no pairs; extra columns are ignored.
 """
 
@@ -65,7 +66,7 @@ def _sketcher(k: int, min_words: int, size: int):
             ends = np.searchsorted(own, np.arange(len(pdf)), side="right")
             at = np.r_[0, ends[:-1]] if len(pdf) else ends
             ok = (ends > at) & (n >= min_words)
-            yield pd.DataFrame({"id": pdf.id[ok], "d": pdf.d[ok], "sk": [s[a:b].tobytes() for a, b in zip(at[ok], ends[ok])]})
+            yield pd.DataFrame({"id": pdf.id, "d": pdf.d, "sk": [s[a:b].tobytes() if o else None for a, b, o in zip(at, ends, ok)]})
 
     return run
 
@@ -189,20 +190,20 @@ def _verifier(k: int, threshold: float):
 
 
 class NearDuplicates:
-    """members: (id, d), the class d of copies of each id. links: (a, b, similarity), a < b, between classes."""
+    """members: (id, d, paired), the class d of copies of each id and whether it is long enough for pairs. links: (a, b, similarity), a < b, between classes."""
 
     def __init__(self, members: DataFrame, links: DataFrame):
         self.members, self.links = members, links
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: links and copies written out for every id."""
-        m = self.members
+        m = self.members.where("paired")
         cross = self.links.join(m.select(F.col("id").alias("x"), F.col("d").alias("a")), "a").join(m.select(F.col("id").alias("y"), F.col("d").alias("b")), "b").select("x", "y")
         copies = m.select(F.col("id").alias("x"), "d").join(m.select(F.col("id").alias("y"), "d"), "d").where("x < y").select("x", "y")
         return cross.unionAll(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
-        """(id, group_id, n_links): connected group of each id, named by its smallest id, and links of its class to other texts."""
+        """(id, group_id, n_links): connected group of each id, short and null texts included, named by its smallest id, and links of its class to other texts."""
         low = self.members.groupBy("d").agg(F.min("id").alias("low"))
         edges = written(self.links.select("a", "b").unionAll(self.links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
         degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
@@ -223,9 +224,10 @@ def near_duplicates(
     df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8, min_words: int = 1, sketch: int = 24, rare: int = 256,
 ) -> NearDuplicates:
     sc = df.sparkSession.sparkContext
-    rows = df.where(F.col(text_col).isNotNull() & key(F.col(id_col)).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("d"))
+    d = F.when(F.col(text_col).isNull(), F.xxhash64(F.lit("null"), key(F.col(id_col)))).otherwise(F.xxhash64(text_col))
+    rows = df.where(key(F.col(id_col)).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), d.alias("d"))
     base = rows.mapInPandas(_sketcher(k, min_words, sketch), "id string, d long, sk binary").persist()
-    classes = base.select("d", "sk").dropDuplicates(["d"]).persist()
+    classes = base.where("sk IS NOT NULL").select("d", "sk").dropDuplicates(["d"]).persist()
     counts = classes.select("sk").mapInPandas(_bucket_counts, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
     hot = sc.broadcast(bits.bitmap(counts.where(F.col("n") > rare).select("b")))
     posts = classes.mapInPandas(_poster(hot, False), "lanes long, d long, key long")
@@ -251,4 +253,7 @@ def near_duplicates(
     texts = rows.select("d", "text").where(listed("d")).dropDuplicates(["d"])
     joined = found.join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
     links = written(joined.select("a", "b", "text_a", "text_b").mapInPandas(_verifier(k, threshold), "a long, b long, similarity double"), "links")
-    return NearDuplicates(base.groupBy(key(F.col("id")).alias("k")).agg(F.min("id").alias("id"), F.min("d").alias("d")).select("id", "d"), links)
+    own = base.select("id", "d", F.col("sk").isNotNull().alias("paired")).groupBy(key(F.col("id")).alias("k"))
+    first = F.min(F.struct(~F.col("paired"), "d"))["d"].alias("d")  # of rows that disagree, one that is long enough
+    members = own.agg(F.coalesce(F.min(F.when(F.col("paired"), F.col("id"))), F.min("id")).alias("id"), first, F.max("paired").alias("paired"))
+    return NearDuplicates(members.select("id", "d", "paired"), links)

@@ -83,6 +83,15 @@ def test_copies_groups_and_links(spark):
     assert {r.id: (r.group_id, r.n_links) for r in nd.groups().collect()} == {"a": ("a", 1), "b": ("a", 1), "c": ("a", 1), "z": ("z", 0)}
 
 
+def test_short_and_null_texts_have_groups_but_no_pairs(spark):
+    long = " ".join(VOCAB[:50])
+    rows = [("b", "Too short."), ("a", "Too short."), ("c", "too short"), ("m", None), ("n", None), ("x", long), ("y", long + " w"), (" ", "Too short.")]
+    nd = near_duplicates(spark.createDataFrame(rows, "clause_id string, clause_text string"), "clause_id", "clause_text", k=3, threshold=0.5, min_words=40)
+    assert {tuple(r) for r in nd.pairs().collect()} == {("x", "y")}
+    assert {r.id: (r.group_id, r.n_links) for r in nd.groups().collect()} == {
+        "a": ("a", 0), "b": ("a", 0), "c": ("c", 0), "m": ("m", 0), "n": ("n", 0), "x": ("x", 1), "y": ("x", 1)}
+
+
 def test_edge_cases(spark):
     assert found(spark, []) == set()
     long = " ".join(f"x{i}" for i in range(20_000))
