@@ -2,8 +2,9 @@
 
 One regular expression with bounded quantifiers tiles the text: its alternatives, from the strongest
 boundary to the weakest, each take as much as the limit allows - to the end of the text, to the last
-paragraph break, sentence end or white space within reach, else exactly the limit. The tiles, put
-together, are the text. Each piece after the first is preceded by a lookback of at most ``overlap``
+paragraph break, sentence end or white space within reach, else exactly the limit. A tile leaves room
+for the overlap, but takes that room before a paragraph, sentence or word that fits is cut inside. The
+tiles, put together, are the text. Each piece after the first is preceded by a lookback of at most ``overlap``
 characters from the end of the tile before, from the start of a word where there is one. Everything is
 Spark SQL array functions on the JVM; no shuffle but the folding of repeated rows.
 
@@ -28,13 +29,18 @@ _S = r"[\s\x1c-\x1f]"
 _BREAK = r"\f|(?:^|\n)(?:[ \t\r]*(?:\n|$))+"
 
 
-def _tiles(limit: int) -> str:
-    run = rf"[\s\S]{{1,{limit}}}"
+def _tiles(limit: int, overlap: int) -> str:
+    run = rf"[\s\S]{{1,{limit - overlap}}}"
+    longer = rf"[\s\S]{{{limit - overlap + 1},{limit}}}?" if overlap else run
+    paragraph = rf"(?<=[\n\f])(?:(?<=\f)|(?=[ \t\r]*\n))(?<=\S\s{{0,64}})"
     return "(?U)" + "|".join([
         rf"{run}\z",
-        rf"{run}(?<=[\n\f])(?:(?<=\f)|(?=[ \t\r]*\n))(?<=\S\s{{0,64}})",
+        rf"{run}{paragraph}",
+        rf"{longer}(?:\z|{paragraph})",
         rf"{run}(?<=[.!?]{_S})",
+        rf"{longer}(?<=[.!?]{_S})",
         rf"{run}(?<={_S})",
+        rf"{longer}(?<={_S})",
         run,
     ])
 
@@ -52,16 +58,17 @@ def finest_cut(text: Column, limit: int) -> Column:
 
 
 def tiles(text: Column, limit: int, overlap: int) -> Column:
-    """The text cut into array elements of at most limit - overlap characters."""
+    """The text cut into array elements of at most limit - overlap characters, or up to limit where a unit would be cut else."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
-    return F.regexp_extract_all(text, F.lit(_tiles(limit - overlap)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_tiles(limit, overlap)), F.lit(0))
 
 
-def lookbacks(tile: Column, overlap: int) -> Column:
-    """For each tile what the next piece repeats of it: its tail from the first word that starts there, a tail without one whole."""
-    tail = lambda t: F.when(F.length(t) <= overlap, t).otherwise(F.right(t, F.lit(overlap)))
-    return F.transform(tile, lambda t: F.coalesce(F.nullif(F.regexp_extract(tail(t), rf"(?U){_S}(\S[\s\S]*)\z", 1), F.lit("")), tail(t)) if overlap else F.lit(""))
+def lookbacks(tile: Column, limit: int, overlap: int) -> Column:
+    """For each tile what the next piece has room to repeat of it: its tail from the first word that starts there, a tail without one whole."""
+    room = lambda i: F.least(F.lit(overlap), limit - F.length(F.get(tile, i + 1)))
+    tail = lambda t, i: F.when(F.length(t) <= room(i), t).otherwise(F.right(t, room(i)))
+    return F.transform(tile, lambda t, i: F.coalesce(F.nullif(F.regexp_extract(tail(t, i), rf"(?U){_S}(\S[\s\S]*)\z", 1), F.lit("")), tail(t, i)) if overlap else F.lit(""))
 
 
 def starts(tile: Column) -> Column:
@@ -95,7 +102,7 @@ def oversized(df: DataFrame, key_col: str, text_col: str, limit: int) -> DataFra
 def split_oversized(df: DataFrame, key_col: str, text_col: str, limit: int, overlap: int = 200) -> DataFrame:
     """(row_key, finest_cut, n_pieces, pieces) for every text over the limit."""
     cut = oversized(df, key_col, text_col, limit).withColumn("tiles", tiles(F.col("text"), limit, overlap))
-    cut = cut.withColumn("back", lookbacks(F.col("tiles"), overlap)).withColumn("starts", starts(F.col("tiles")))
+    cut = cut.withColumn("back", lookbacks(F.col("tiles"), limit, overlap)).withColumn("starts", starts(F.col("tiles")))
     return cut.select(
         "row_key", finest_cut(F.col("text"), limit).alias("finest_cut"), F.size("tiles").alias("n_pieces"),
         pieces(F.col("tiles"), F.col("back"), F.col("starts")).alias("pieces"))

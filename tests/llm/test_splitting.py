@@ -50,6 +50,15 @@ def test_cuts_at_the_strongest_boundary(spark):
     assert r.finest_cut == "word" or r.finest_cut == finest(text, 60)
 
 
+def test_overlap_gives_way_before_a_unit_that_fits_is_cut(spark):
+    words = lambda n: ("abcd " * 40)[: n - 1] + "e"
+    texts = {"p": "\n\n".join([words(90), words(95), words(30)]), "s": " ".join([words(88) + ".", words(97) + ".", words(60) + "."]), "w": " ".join(["x" * 95, "y" * 99, "z"])}
+    got = run(spark, list(texts.items()), 100, 20)
+    for k, cut in (("p", "paragraph"), ("s", "sentence"), ("w", "word")):
+        check(texts[k], got[k], 100, 20)
+        assert got[k].finest_cut == cut and [p.cut for p in got[k].pieces] == [cut] * (len(got[k].pieces) - 1) + ["end"], k
+
+
 def test_edge_cases(spark):
     assert run(spark, [], 10, 2) == {}
     rows = [("n", None), ("e", ""), ("s", "x" * 10), (None, "x" * 11), (" ", "x" * 11), ("k", "x" * 11), ("K ", "x" * 11)]
