@@ -130,7 +130,8 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
 
     lengths = sorted(r.size_ for r in i.mapInPandas(sizes, "size int").distinct().withColumnRenamed("size", "size_").collect() if r.size_ >= k)  # at most min_run rows
     wanted, n = written_rows(i.mapInPandas(_search(lengths, k, None), out.format(kinds["i"])).select(F.col("id").alias("item_id"), "size", "h").distinct(), "items")
-    known = sc.broadcast(bits.bitmap(wanted.select(bits.bucket(F.col("h")).alias("b")).distinct()))
+    n_bits = bits.bits_for(n)
+    known = sc.broadcast(bits.bitmap(wanted.select(bits.bucket(F.col("h"), n_bits).alias("b")).distinct(), n_bits))
     # the partition's length is part of the hash, and a size partition meets only its own
     seen = d.mapInPandas(_search(lengths, k, known), out.format(kinds["d"]))
     side = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted

@@ -1,20 +1,21 @@
 """Near-duplicate texts by bottom-k sketches from one hash function.
 
-1. Each distinct text keeps the ``sketch`` smallest hashes of its word shingles, in hash order.
-2. Inverted lists: each position of a sketch is posted under a key of two successive retained values,
-   whatever the length of the list, so recall does not depend on the size of the collection. A list
-   with a rare value (in at most ``rare`` sketches) has at most ``rare`` entries; the others are
-   compared in blocks, every block with every block, so no task holds an unbounded list.
-3. Every entry carries eight-bit marks of the four retained values on either side. Two entries of one
-   list count if the overlap of these stretches of the union sketch is compatible with the threshold
-   (expectation less 1.4 standard deviations, at least), and the overlaps of all lists that two texts
-   share are added up: the estimate on the union sketch. Fewer than ``_EVIDENCE`` overlaps in all mean
-   a chance meeting; a pair at J = 0.5 and sketch = 24 is expected to have about thirty.
+1. Copies are folded: texts with equal 128-bit hashes are one class. Each class keeps the ``sketch``
+   smallest hashes of its word shingles.
+2. Inverted lists: the retained values of a class are ordered from the rarest to the commonest (hashed
+   counts, one order for all), and all but the last m - 1 are posted, m being the least overlap of two
+   sketches that the threshold lets expect (``least_overlap``). Two sketches with m values in common
+   share a posted value, whatever the order and however common the values are: recall depends on m
+   alone, not on the size of the collection. Values that occur once are not posted.
+3. An entry carries one-byte marks of its value and those after it (of ``sketch`` retained values in all, up to 8/3
+   times as many for large sets): what comes before is not shared in the first list of a pair. In its list it meets
+   every other entry; lists longer than ``block`` are compared block by block, each pair of blocks on its own, so
+   no task holds an unbounded list and nothing is capped. The overlap of two sketches, against what it is expected
+   to be for sets of these sizes at the threshold, is the estimate on the union of the sketches.
 4. Exact Jaccard similarity of the shingle sets verifies each candidate pair of distinct texts.
 
-Two sets of similarity J share two successive retained values somewhere with probability of about
-1 - 0.1 % for J = 0.5 and sketch = 24, and far more surely above. Copies of one text form one class
-and are represented once, so a group of copies costs one sketch whatever its size.
+The chance to miss a pair just at the threshold is below 1 % (2.44 standard deviations) and falls fast above it. The work on a list grows with the square
+of its length, but lists of the commonest values are not posted as long as texts have rarer ones.
 
 Edge cases: null texts and texts with fewer than ``min_words`` or ``k`` words take part in no pair, but are members
 (exact copies of a short text are one class, a null text is a class of its own);
@@ -23,6 +24,7 @@ rows repeated under one id count once; an empty table gives no pairs; extra colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,41 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.keys import key
 from clauselake.llm import bits
-from clauselake.llm.words import mix, shingles, signed
+from clauselake.llm.words import mix, shingles
 from clauselake.session import written, written_rows
 
-_SIDE = 4  # marks on either side of a key
-_PAIR = 2  # values in a key
-_BLOCK = 1024  # entries compared at once
-_SMALL = 8  # sketches below this size are also posted under single values, and any of those met is evidence enough
-_EVIDENCE = 5  # overlaps of a candidate
+_BLOCK = 8192  # entries of a list compared in one task
+_TILE = 1 << 20  # pairs compared at once
+_DEVIATIONS = 2.44  # how far below its expectation an overlap may lie
+_ENTRIES = 200_000  # about the entries of a bucket of lists
+
+
+def retained(size: np.ndarray, sketch: int) -> np.ndarray:
+    """Values a sketch keeps: grows with the set, so that large sets keep as dense a part of the hashes as small ones, up to a bound."""
+    return np.minimum(size, np.clip(size * sketch // 64, sketch, sketch * 8 // 3)).astype(np.int64)
+
+
+def _moments(a: np.ndarray, b: np.ndarray, threshold: float, sketch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common values of sets of sizes a and b at the threshold, mean and variance of those in both sketches."""
+    common = np.ceil(threshold * (a + b) / (1 + threshold) - 1e-9)
+    rate = np.minimum(retained(a, sketch) / a, retained(b, sketch) / b)
+    mean = common * rate
+    return common, mean, np.where(rate < 1, mean * (1 - np.minimum(1, common / np.maximum(a, b))), 0)
+
+
+def least_overlap(size: np.ndarray, threshold: float, sketch: int) -> np.ndarray:
+    """Values that the sketch of a set of this size must share with that of any set as similar as the threshold."""
+    sizes, at = np.unique(np.asarray(size, dtype=np.float64), return_inverse=True)
+    a = np.maximum(1, sizes)[:, None]
+    _, mean, var = _moments(a, np.maximum(1, np.round(a * np.geomspace(threshold, 1 / threshold, 33)[None, :])), threshold, sketch)
+    return np.maximum(1, np.floor(mean - _DEVIATIONS * np.sqrt(var) + 1e-9).min(1)).astype(np.int64)[at]
+
+
+def plausible(n: np.ndarray, a: np.ndarray, b: np.ndarray, marks_a: np.ndarray, marks_b: np.ndarray, threshold: float, sketch: int) -> np.ndarray:
+    """Can sets of sizes a and b whose sketches share n of their marks be as similar as the threshold? Marks equal by chance are allowed for."""
+    common, mean, var = _moments(a.astype(float), b.astype(float), threshold, sketch)
+    chance = np.maximum(marks_a - n, 0) * np.maximum(marks_b - n, 0) / 256
+    return (common <= np.minimum(a, b)) & (n - chance >= mean - _DEVIATIONS * np.sqrt(var + chance))
 
 
 def _unique_rows(s: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +90,13 @@ def _sketcher(k: int, min_words: int, size: int):
         for pdf in batches:
             s, own, n = shingles(pdf.text, k)
             s, own = _unique_rows(s >> np.uint64(32), own)  # 32 bits: verified exactly later
-            kept = _ranks(own) < size
-            s, own = s[kept].astype("<u4"), own[kept]
             ends = np.searchsorted(own, np.arange(len(pdf)), side="right")
             at = np.r_[0, ends[:-1]] if len(pdf) else ends
             ok = (ends > at) & (n >= min_words)
-            yield pd.DataFrame({"id": pdf.id, "d": pdf.d, "sk": [s[a:b].tobytes() if o else None for a, b, o in zip(at, ends, ok)]})
+            s = s.astype("<u4")
+            last = at + retained(ends - at, size)
+            sk = [s[a:b].tobytes() if o else None for a, b, o in zip(at, last, ok)]
+            yield pd.DataFrame({"h1": pdf.h1, "h2": pdf.h2, "n": (ends - at).astype(np.int32), "sk": sk})
 
     return run
 
@@ -76,99 +106,146 @@ def _values(sk: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return v, np.repeat(np.arange(len(sk)), [len(x) // 4 for x in sk]).astype(np.int64)
 
 
-def _bucket_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        v, _ = _values(pdf.sk)
-        b, n = np.unique(v & np.uint64((1 << bits.BITS) - 1), return_counts=True)
-        yield pd.DataFrame({"b": b.astype(np.int32), "n": n})
+def _bucket_counts(n_bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            b, n = np.unique(_values(pdf.sk)[0] & np.uint64((1 << n_bits) - 1), return_counts=True)
+            yield pd.DataFrame({"b": b.astype(np.int32), "n": n})
+
+    return run
+
+
+def _packed(v: np.ndarray, part: np.ndarray, d: np.ndarray, size: np.ndarray, length: np.ndarray, marks: np.ndarray) -> bytes:
+    return b"".join([len(v).to_bytes(4, "little"), v.astype("<u4").tobytes(), part.astype("<u4").tobytes(), d.astype("<i8").tobytes(), size.astype("<u2").tobytes(), length.astype("u1").tobytes(), marks.tobytes()])
+
+
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    """v, part, d, size, length and marks of all entries."""
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for blob in blobs:
+        n, at = int.from_bytes(blob[:4], "little"), 4
+        for field, kind, width in zip(out, ("<u4", "<u4", "<i8", "<u2", "u1"), (4, 4, 8, 2, 1)):
+            field.append(np.frombuffer(blob, kind, n, at))
+            at += n * width
+        out[5].append(np.frombuffer(blob, "u1", -1, at))
+    return [np.concatenate(x) for x in out]
+
 
+def _stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from start on, length of them, one stretch after another."""
+    before = np.cumsum(length) - length
+    return np.arange(length.sum()) + np.repeat(start - before, length)
+
+
+def _poster(shared, n_bits: int, threshold: float, sketch: int, block: int, buckets: int):
+    """(bucket, entries): the entries of a batch for each bucket of lists, packed. An entry is its list (value and pair
+    of blocks), class, set size and the marks from its value on: values before it are shared in no list it can be the first of."""
 
-def _poster(hot_map, want_wide: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
         for pdf in batches:
             v, own = _values(pdf.sk)
-            n = len(v)
-            if not n:
-                continue
-            hot = bits.has(hot_map.value, v)
-            mark = (mix(v + np.uint64(1)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+            step = often[(v & np.uint64((1 << n_bits) - 1)).astype(np.int64)]
+            o = np.lexsort((v, step, own))
+            v, step = v[o], step[o]
+            marks = (mix(v + np.uint64(1)) >> np.uint64(56)).astype(np.uint8)
+            size = pdf.n.to_numpy()
+            ends = np.cumsum(np.bincount(own, minlength=len(pdf)))
+            length = ends[own] - np.arange(len(v))
+            at = np.flatnonzero((length >= least_overlap(size, threshold, sketch)[own]) & (step > 1))
+            parts = np.maximum(1, -(-bits.most_in(step[at]) // block))  # from an upper bound of the list's length
             d = pdf.d.to_numpy()
-            last = np.searchsorted(own, own, side="right")
-            rank = _ranks(own)
-            at = np.arange(n)
-            size = last - (at - rank)
-            nxt = np.minimum(at + 1, n - 1)
-            with np.errstate(over="ignore"):
-                keys = mix(mix(v + np.uint64(7)) * np.uint64(31) + v[nxt])
-            done = (at + _PAIR <= last) & ((hot & hot[nxt]) == want_wide)
-            few = size < _SMALL
-            pos, keys, length = at[done], keys[done], np.full(done.sum(), _PAIR)
-            wide = np.ones(len(pos), dtype=np.int32)
-            if want_wide:
-                pos, keys, length = np.r_[pos, at[few]], np.r_[keys, mix(v[few] ^ np.uint64(0x5151))], np.r_[length, np.ones(few.sum(), dtype=np.int64)]
-                wide = np.r_[wide, np.full(few.sum(), 2, dtype=np.int32)]
-            lanes = np.zeros((len(pos), 2 * _SIDE), dtype=np.uint8)
-            for i in range(_SIDE):
-                for lane, p, ok in ((i, pos - 1 - i, rank[pos] > i), (_SIDE + i, pos + length + i, pos + length + i < last[pos])):
-                    lanes[ok, lane] = mark[p[ok]]
-            out = {"lanes": lanes.view("<i8").ravel(), "d": d[own[pos]], "key": signed(keys >> np.uint64(20))}
-            yield pd.DataFrame(out | {"wide": wide} if want_wide else out)
+            mine = (mix(d.astype(np.uint64) + np.uint64(3))[own[at]] % parts.astype(np.uint64)).astype(np.int64)
+            again = np.repeat(np.arange(len(at)), parts)
+            other = _ranks(again)
+            at, mine, parts = at[again], mine[again], parts[again]
+            low, high = np.minimum(mine, other), np.maximum(mine, other)
+            part = (low * parts + high) * 4 + np.where(low == high, 2, mine == high)
+            bucket = (mix(v[at] * np.uint64(0x9E3779B1) + (part >> 2).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            o = np.argsort(bucket, kind="stable")
+            at, part, bucket = at[o], part[o], bucket[o]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(at) else np.zeros(1, dtype=np.int64)
+            rows = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                x = at[a:b]
+                rows.append((bucket[a], _packed(v[x], part[a:b], d[own[x]], np.minimum(size[own[x]], 65535), length[x], marks[_stretches(x, length[x])])))
+            yield pd.DataFrame(rows, columns=["bucket", "entries"]).astype({"bucket": "int32"})
 
     return run
 
 
-def _overlap(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """x, y: (pairs, 8) marks. Overlaps on the stretches of the union sketch with the key's own; 0 if the threshold lets expect more."""
-    there = np.minimum((x > 0).sum(1), (y > 0).sum(1))
-    common = np.zeros(len(x), dtype=np.int64)
-    for s in (slice(0, _SIDE), slice(_SIDE, 2 * _SIDE)):
-        a, b = x[:, s], y[:, s]
-        common += ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] > 0)).any(2).sum(1)
-    least = np.floor(there * threshold - 1.4 * np.sqrt(there * threshold * (1 - threshold)))
-    return np.where(common >= least, common + 1, 0)
-
-
-def _pairer(threshold: float, blocked: bool):
-    def group_pairs(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs within each run, at most a few hundred thousand at a time."""
-        for m in np.unique(size[size > 1]):
-            i, j = np.triu_indices(m, 1)
-            step = max(1, 200_000 // len(i))
-            s = start[size == m]
-            for a in range(0, len(s), step):
-                yield (s[a : a + step, None] + i).ravel(), (s[a : a + step, None] + j).ravel()
+def _pairer(threshold: float, sketch: int):
+    """Candidate pairs of the lists of one bucket, which is a partition."""
+
+    def bitmaps(marks: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), 32), dtype=np.uint8)
+        for i in range(length.max(initial=0)):
+            ok = np.flatnonzero(length > i)
+            m = marks[at[ok] + i]
+            out[ok, m >> 3] |= np.uint8(1) << (m & 7)
+        return out.view(np.uint64)
+
+    def survivors(w: np.ndarray, least: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of i (lists, m) and j (lists, n) whose sketches share enough."""
+        n = np.zeros((i.shape[0], i.shape[1], j.shape[1]), dtype=np.uint8)
+        for x in range(4):
+            c = w[:, x]
+            n += np.bitwise_count(c[i][:, :, None] & c[j][:, None, :])
+        hit = np.flatnonzero(((n >= least[i][:, :, None]) & (n >= least[j][:, None, :])).ravel())
+        r, q = np.divmod(hit, i.shape[1] * j.shape[1])
+        p, q = np.divmod(q, j.shape[1])
+        return i[r, p], j[r, q]
+
+    def groups(start: np.ndarray, size: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(rows i, rows j, is it a list with itself) with at most about _TILE pairs each."""
+        one = side[start] == 2
+        for m in np.unique(size[one & (size > 1)]):
+            s = start[one & (size == m)]
+            if m * m <= _TILE:
+                step = max(1, _TILE // (m * m))
+                for a in range(0, len(s), step):
+                    i = s[a : a + step, None] + np.arange(m)
+                    yield i, i, True
+            else:
+                for x in s:
+                    yield from tiles(np.arange(x, x + m), np.arange(x, x + m), True)
+        for x, m in zip(start[~one], size[~one]):
+            at = np.arange(x, x + m)
+            yield from tiles(at[side[at] == 0], at[side[at] == 1], False)
+
+    def tiles(i: np.ndarray, j: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        step = int(math.sqrt(_TILE))
+        for a in range(0, len(i), step):
+            for b in range(a if same else 0, len(j), step):
+                yield i[None, a : a + step], j[None, b : b + step], same and a == b
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pd.concat([rest, pdf]) if rest is not None else pdf
-            k = pdf.key.to_numpy()
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last run may go on in the next batch
-            rest, pdf = pdf.iloc[cut:], pdf.iloc[:cut]
-            yield emit(pdf)
-        if rest is not None:
-            yield emit(rest)
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, d = pdf.key.to_numpy(), pdf.d.to_numpy()
-        lanes = pdf.lanes.to_numpy().astype("<i8").view(np.uint8).reshape(-1, 2 * _SIDE)
-        side, single = (pdf.side.to_numpy(), pdf.wide.to_numpy() == 2) if blocked else (None, None)
-        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, dtype=np.int64)
-        out = []
-        for i, j in group_pairs(start, np.diff(np.r_[start, len(k)])):
-            ok = d[i] != d[j]
-            if blocked:
-                ok &= (side[i] == 2) | (side[i] != side[j])
-            i, j = i[ok], j[ok]
-            n = _overlap(lanes[i], lanes[j], threshold)
-            if blocked:
-                n = np.where(single[i], _EVIDENCE, n)
-            i, j, n = i[n > 0], j[n > 0], n[n > 0]
-            out.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j]), n], 1))
-        p = np.concatenate(out) if out else np.empty((0, 3), dtype=np.int64)
-        p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        first = np.flatnonzero(np.r_[True, (p[1:, :2] != p[:-1, :2]).any(1)]) if len(p) else np.empty(0, dtype=np.int64)
-        return pd.DataFrame({"a": p[first, 0], "b": p[first, 1], "n": np.add.reduceat(p[:, 2], first) if len(p) else p[:, 2]})
+        blobs = [x for pdf in batches for x in pdf.entries]
+        if not blobs:
+            return
+        v, part, d, size, length, marks = _unpacked(blobs)
+        del blobs
+        o = np.lexsort((part, v))
+        begin = (np.cumsum(length, dtype=np.int64) - length)[o]
+        v, part, d, size, length = v[o], part[o], d[o], size[o].astype(np.int64), length[o].astype(np.int64)
+        w = bitmaps(marks, begin, length)
+        least = least_overlap(size, threshold, sketch).astype(np.uint8)
+        start = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (part[1:] >> 2 != part[:-1] >> 2)])
+        out, kept = [], 0
+        for i, j, same in groups(start, np.diff(np.r_[start, len(v)]), part & 3):
+            a, b = survivors(w, least, i, j)
+            if same:
+                a, b = a[a < b], b[a < b]
+            n = np.bitwise_count(w[a] & w[b]).sum(1).astype(np.int64)
+            ok = plausible(n, size[a], size[b], length[a], length[b], threshold, sketch)
+            a, b = d[a[ok]], d[b[ok]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            kept += len(a)
+            if kept > _TILE:
+                yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+                out, kept = [], 0
+        if out:
+            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     return run
 
@@ -221,39 +298,35 @@ class NearDuplicates:
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8, min_words: int = 1, sketch: int = 24, rare: int = 256,
+    df: DataFrame, id_col: str, text_col: str, *, k: int = 5, threshold: float = 0.8, min_words: int = 1, sketch: int = 24, block: int = _BLOCK,
 ) -> NearDuplicates:
     sc = df.sparkSession.sparkContext
-    d = F.when(F.col(text_col).isNull(), F.xxhash64(F.lit("null"), key(F.col(id_col)))).otherwise(F.xxhash64(text_col))
-    rows = df.where(key(F.col(id_col)).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), d.alias("d"))
-    base = rows.mapInPandas(_sketcher(k, min_words, sketch), "id string, d long, sk binary").persist()
-    classes = base.where("sk IS NOT NULL").select("d", "sk").dropDuplicates(["d"]).persist()
-    counts = classes.select("sk").mapInPandas(_bucket_counts, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    hot = sc.broadcast(bits.bitmap(counts.where(F.col("n") > rare).select("b")))
-    posts = classes.mapInPandas(_poster(hot, False), "lanes long, d long, key long")
-    bounded = posts.repartition("key").sortWithinPartitions("key").mapInPandas(_pairer(threshold, False), "a long, b long, n long")
-    wide = written(classes.mapInPandas(_poster(hot, True), "lanes long, d long, key long, wide int"), "wide")
-    blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
-    sized = wide.join(wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").select("lanes", "d", "key", "wide", blocks.alias("nb"))
-    own = F.pmod(F.xxhash64("d"), F.col("nb")).cast("int")
-    spread = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.select(
-        "lanes", "d", "wide", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
-    )
-    unbounded = spread.repartition("key").sortWithinPartitions("key").mapInPandas(_pairer(threshold, True), "a long, b long, n long")
-    met = bounded.unionAll(unbounded).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    found = written(met.where(F.col("n") >= _EVIDENCE).select("a", "b"), "candidates")
-    wanted = sc.broadcast(bits.bitmap(found.select(bits.bucket(F.col("a")).alias("b")).unionAll(found.select(bits.bucket(F.col("b")).alias("b"))).distinct()))
+    text = F.col(text_col)
+    h1 = F.when(text.isNull(), F.xxhash64(F.lit("null"), key(F.col(id_col)))).otherwise(F.xxhash64(text))
+    h2 = F.when(text.isNull(), F.xxhash64(F.lit("none"), key(F.col(id_col)))).otherwise(F.xxhash64(F.lit("again"), text))
+    rows = df.where(key(F.col(id_col)).isNotNull()).select(F.col(id_col).cast("string").alias("id"), text.alias("text"), h1.alias("h1"), h2.alias("h2"))
+    once = rows.select("h1", "h2", "text").mapInPandas(_sketcher(k, min_words, sketch), "h1 long, h2 long, n int, sk binary").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
+    classes, n_classes = written_rows(once.withColumn("d", F.monotonically_increasing_id()), "classes")
+    long = classes.where("sk IS NOT NULL").select("d", "n", "sk")
+    n_bits = bits.bits_for(n_classes * sketch // 16, bits.COUNTS)
+    often = sc.broadcast(bits.counts(long.select("sk").mapInPandas(_bucket_counts(n_bits), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")), n_bits))
+    buckets = max(sc.defaultParallelism, n_classes * sketch // _ENTRIES)
+    posts = long.mapInPandas(_poster(often, n_bits, threshold, sketch, block, buckets), "bucket int, entries binary")
+    found, n_found = written_rows(posts.repartitionById(buckets, "bucket").mapInPandas(_pairer(threshold, sketch), "a long, b long").distinct(), "candidates")
+    ends = found.select(F.col("a").alias("d")).unionAll(found.select(F.col("b").alias("d"))).distinct()
+    wanted_rows = classes.join(ends, "d").select("d", "h1", "h2")
+    wanted = sc.broadcast(bits.bitmap(wanted_rows.select(bits.bucket(F.col("h1"), bits.bits_for(2 * n_found)).alias("b")).distinct(), bits.bits_for(2 * n_found)))
 
     @F.pandas_udf("boolean")
-    def listed(d: pd.Series) -> pd.Series:
-        return pd.Series(bits.has(wanted.value, d.to_numpy()))
+    def listed(h: pd.Series) -> pd.Series:
+        return pd.Series(bits.has(wanted.value, h.to_numpy()))
 
-    texts = rows.select("d", "text").where(listed("d")).dropDuplicates(["d"])
-    joined = found.join(texts.select(F.col("d").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("d").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = rows.select("h1", "h2", "text").where(listed("h1")).join(wanted_rows, ["h1", "h2"]).groupBy("d").agg(F.first("text").alias("text"))
+    side = lambda x: texts.select(F.col("d").alias(x), F.col("text").alias(f"text_{x}"))
+    joined = found.join(side("a"), "a").join(side("b"), "b")
     links = written(joined.select("a", "b", "text_a", "text_b").mapInPandas(_verifier(k, threshold), "a long, b long, similarity double"), "links")
-    own = base.select("id", "d", F.col("sk").isNotNull().alias("paired")).groupBy(key(F.col("id")).alias("k"))
+    own = rows.select("id", "h1", "h2").join(classes.select("h1", "h2", "d", F.col("sk").isNotNull().alias("paired")), ["h1", "h2"])
+    own = own.groupBy(key(F.col("id")).alias("k"))
     first = F.min(F.struct(~F.col("paired"), "d"))["d"].alias("d")  # of rows that disagree, one that is long enough
     members = own.agg(F.coalesce(F.min(F.when(F.col("paired"), F.col("id"))), F.min("id")).alias("id"), first, F.max("paired").alias("paired"))
     return NearDuplicates(members.select("id", "d", "paired"), links)

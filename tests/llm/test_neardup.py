@@ -57,21 +57,21 @@ def test_against_all_pairs(spark):
     assert agree(found(spark, rows), brute(rows, 5, 0.8, 1))
 
 
-def test_large_cluster_beyond_the_rare_bound(spark):
+def test_large_cluster_in_many_blocks(spark):
     rnd = random.Random(2)
     base = " ".join(rnd.choice(VOCAB) for _ in range(80))
     rows = [(f"h{i:03d}", edited(rnd, base, 2)) for i in range(120)] + corpus(3, 5, 3)
     want = brute(rows, 3, 0.5, 40)
-    assert agree(found(spark, rows, k=3, threshold=0.5, min_words=40, rare=16), want) and len(want) > 7000
+    assert agree(found(spark, rows, k=3, threshold=0.5, min_words=40, block=16), want) and len(want) > 7000
 
 
-def test_recall_does_not_depend_on_how_common_the_values_are(spark):
+def test_blocks_find_what_whole_lists_find(spark):
     rnd = random.Random(7)
     base = " ".join(rnd.choice(VOCAB) for _ in range(90))
     rows = [(f"h{i:03d}", edited(rnd, base, 7)) for i in range(160)]
     want = brute(rows, 3, 0.5, 40)
-    hot = found(spark, rows, k=3, threshold=0.5, min_words=40, rare=4)
-    assert len(want) > 3000 and hot == found(spark, rows, k=3, threshold=0.5, min_words=40, rare=10_000) and agree(hot, want)
+    hot = found(spark, rows, k=3, threshold=0.5, min_words=40, block=24)
+    assert len(want) > 3000 and hot == found(spark, rows, k=3, threshold=0.5, min_words=40, block=10_000) and agree(hot, want)
 
 
 def test_copies_groups_and_links(spark):
@@ -99,3 +99,25 @@ def test_edge_cases(spark):
     assert found(spark, rows, k=3, threshold=0.5) == {("l1", "l2"), ("one", "two")}
     df = spark.createDataFrame([("p", "a b c d e", 1, "q"), ("q", "a b c d e f", 2, "r")], "clause_id string, clause_text string, d int, id string")
     assert {tuple(r) for r in near_duplicates(df, "clause_id", "clause_text", k=3, threshold=0.5).pairs().collect()} == {("p", "q")}
+
+
+def test_recall_near_the_threshold_in_a_cluster_of_hot_lists(spark):
+    """Many edited wordings of one text, about all pairs at J from 0.5 to 0.65, lists cut in blocks."""
+    rnd = random.Random(11)
+    base = " ".join(rnd.choice(VOCAB) for _ in range(100))
+    rows = [(f"h{i:03d}", edited(rnd, base, 6)) for i in range(300)]
+    want = brute(rows, 3, 0.5, 40)
+    got = found(spark, rows, k=3, threshold=0.5, min_words=40, block=64)
+    assert len(want) > 10_000 and not got - want and len(want & got) >= 0.99 * len(want)
+
+
+def test_one_text_inside_another(spark):
+    """Sizes one to two: the sketch of the longer text keeps half of the common values."""
+    rnd = random.Random(12)
+    rows = []
+    for i in range(150):
+        w = [f"u{i}x{rnd.randrange(10**6)}" for _ in range(110)]
+        rows += [(f"a{i:03d}", " ".join(w)), (f"b{i:03d}", " ".join(w[:60]))]
+    want = brute(rows, 3, 0.5, 40)
+    got = found(spark, rows, k=3, threshold=0.5, min_words=40)
+    assert len(want) == 150 and not got - want and len(got) >= 148
