@@ -38,7 +38,7 @@ from clauselake.llm.words import mix, shingles
 from clauselake.session import written, written_rows
 
 _BLOCK = 8192  # entries of a list compared in one task
-_TILE = 1 << 20  # pairs compared at once
+_TILE = 1 << 17  # pairs compared at once
 _DEVIATIONS = 2.44  # how far below its expectation an overlap may lie
 _ENTRIES = 200_000  # about the entries of a bucket of lists
 
@@ -314,19 +314,21 @@ def near_duplicates(
     posts = long.mapInPandas(_poster(often, n_bits, threshold, sketch, block, buckets), "bucket int, entries binary")
     found, n_found = written_rows(posts.repartitionById(buckets, "bucket").mapInPandas(_pairer(threshold, sketch), "a long, b long").distinct(), "candidates")
     ends = found.select(F.col("a").alias("d")).unionAll(found.select(F.col("b").alias("d"))).distinct()
-    wanted_rows = classes.join(ends, "d").select("d", "h1", "h2")
-    wanted = sc.broadcast(bits.bitmap(wanted_rows.select(bits.bucket(F.col("h1"), bits.bits_for(2 * n_found)).alias("b")).distinct(), bits.bits_for(2 * n_found)))
+    wanted_rows = written(classes.join(ends, "d").select("d", "h1", "h2"), "ends")
+    h_bits = bits.bits_for(2 * n_found)
+    wanted = sc.broadcast(bits.bitmap(wanted_rows.select(bits.bucket(F.col("h1"), h_bits).alias("b")).distinct(), h_bits))
 
     @F.pandas_udf("boolean")
     def listed(h: pd.Series) -> pd.Series:
         return pd.Series(bits.has(wanted.value, h.to_numpy()))
 
-    texts = rows.select("h1", "h2", "text").where(listed("h1")).join(wanted_rows, ["h1", "h2"]).groupBy("d").agg(F.first("text").alias("text"))
-    side = lambda x: texts.select(F.col("d").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = found.join(side("a"), "a").join(side("b"), "b")
+    texts = rows.select("h1", "h2", "text").where(listed("h1")).dropDuplicates(["h1", "h2"])
+    hashes = lambda x: wanted_rows.select(F.col("d").alias(x), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"))
+    side = lambda x: texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("text").alias(f"text_{x}"))
+    joined = found.join(hashes("a"), "a").join(hashes("b"), "b").join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     links = written(joined.select("a", "b", "text_a", "text_b").mapInPandas(_verifier(k, threshold), "a long, b long, similarity double"), "links")
     own = rows.select("id", "h1", "h2").join(classes.select("h1", "h2", "d", F.col("sk").isNotNull().alias("paired")), ["h1", "h2"])
     own = own.groupBy(key(F.col("id")).alias("k"))
     first = F.min(F.struct(~F.col("paired"), "d"))["d"].alias("d")  # of rows that disagree, one that is long enough
     members = own.agg(F.coalesce(F.min(F.when(F.col("paired"), F.col("id"))), F.min("id")).alias("id"), first, F.max("paired").alias("paired"))
-    return NearDuplicates(members.select("id", "d", "paired"), links)
+    return NearDuplicates(written(members.select("id", "d", "paired"), "members"), links)
