@@ -7,8 +7,9 @@ ones (at least ``k`` words) by passages of their own length, one partition for e
 A passage is represented by a band of ``_ROWS`` MinHash values of its k-word shingles; overlapping
 passages mostly share their minima, so a text keeps a few bands for every passage length. A passage
 contained in a document equals one of the document's passages and has its band: no contained passage
-can be missed, and phrases that many texts share seldom supply all minima of a band. Exact shingle containment then verifies each candidate: the longest
-stretch of successive words that document and item have in common must reach the passage length.
+can be missed, and phrases that many texts share seldom supply all minima of a band. Exact shingle containment then verifies each candidate: of the
+item's passages (its shingles of passage length) the document must contain at least one. The share it contains, and
+the longest stretch of successive words that both have, are reported.
 
 Edge cases: null and empty texts, and items shorter than ``k`` words, give no rows; repeated rows of
 one id count once; of different texts under one id each is searched, the longest run counts; an empty
@@ -106,18 +107,20 @@ def _verify(min_run: int, k: int):
                 doc = hashed([text])[0]
                 for r in rows.itertuples():
                     item = hashed([r.item_text])[0]
-                    n = longest_run(doc, item, min(min_run, len(item)))
+                    size = min(min_run, len(item))
+                    passages = float(np.isin(np.unique(rolled(item, size)), rolled(doc, size)).mean())
+                    n = longest_run(doc, item, size) if passages > 0 else 0
                     if n:
-                        s, t = np.unique(rolled(item, min(k, len(item)))), rolled(doc, min(k, len(item)))
-                        out.append((r.id, r.item_id, n, float(np.isin(s, t).mean())))
-            yield pd.DataFrame(out, columns=["id", "item_id", "run_words", "containment"])
+                        s, t = np.unique(rolled(item, min(k, size))), rolled(doc, min(k, size))
+                        out.append((r.id, r.item_id, n, float(np.isin(s, t).mean()), passages))
+            yield pd.DataFrame(out, columns=["id", "item_id", "run_words", "containment", "passage_containment"])
 
     return run
 
 
 def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, *, min_run: int = 20, k: int = 5) -> DataFrame:
-    """(id, item_id, run_words, containment): every document that shares min_run successive words with an item
-    (or holds all of a shorter item), the longest such run, and the share of the item's k-word shingles it holds."""
+    """(id, item_id, run_words, containment, passage_containment): every document that shares min_run successive words with an item
+    (or holds all of a shorter item), the longest such run, and the shares of the item's k-word shingles and of its passages that it holds."""
     sc = docs.sparkSession.sparkContext
     d = docs.where(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text"))
     i = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).distinct()
@@ -138,5 +141,6 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     found = written(seen.join(side, ["size", "h"]).select("id", "item_id").distinct(), "leaks")
     texts = d.join(found, "id").select("id", "item_id", "text")
     both = texts.join(i.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
-    res = both.mapInPandas(_verify(min_run, k), f"id {kinds['d']}, item_id {kinds['i']}, run_words int, containment double")
-    return res.groupBy("id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("containment").alias("containment"))
+    res = both.mapInPandas(_verify(min_run, k), f"id {kinds['d']}, item_id {kinds['i']}, run_words int, containment double, passage_containment double")
+    best = [F.max(c).alias(c) for c in ("run_words", "containment", "passage_containment")]
+    return res.groupBy("id", "item_id").agg(*best)

@@ -119,16 +119,19 @@ def plan_mix(patterns: dict[tuple[str, ...], int], targets: Sequence[Row], total
 class Mixer:
     """Token counts of documents by pattern; plans and selections for the mixes of a target table."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, sources, targets: DataFrame, *, seed: int = 17, tokenizer_path: str | None = None):
-        """sources: a column of one source or of an array of sources."""
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, sources, targets: DataFrame, *, seed: int = 17, tokenizer_path: str | None = None, tokenizer_pattern: str | None = None, max_patterns: int = 100_000):
+        """sources: a column of one source or of an array of sources. Raises if more than max_patterns combinations of them occur."""
         spark = docs.sparkSession
         self.seed = seed
         kind = dict(docs.select(F.col(sources).alias("s")).dtypes)["s"]
         member = F.col(sources) if kind.startswith("array") else F.array(F.col(sources))
         pattern = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(member, F.array().cast("array<string>")))))
         rows = docs.select(F.col(id_col).alias("id"), pattern.alias("pattern"), F.col(text_col).alias("text"))
-        self.docs = written(with_tokens(rows, "text", tokenizer_path), "tokens")
-        got = self.docs.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each combination of sources
+        self.docs = written(with_tokens(rows, "text", tokenizer_path, tokenizer_pattern), "tokens")
+        sums = self.docs.groupBy("pattern").agg(F.sum("n_tokens").alias("n"))
+        got = sums.limit(max_patterns + 1).collect()  # a row for each combination of sources that occurs
+        if len(got) > max_patterns:
+            raise ValueError(f"more than {max_patterns} combinations of sources: too many for one flow network")
         self.patterns = {tuple(r.pattern): r.n or 0 for r in got if r.pattern}
         self.total = sum(r.n or 0 for r in got)
         by: dict[str, list[Row]] = {}

@@ -9,7 +9,7 @@ from clauselake.llm.leakage import leaks
 from clauselake.llm.mixing import Mixer
 from clauselake.llm.neardup import near_duplicates
 from clauselake.llm.scans import repair_scans, texts_of
-from clauselake.llm.splitting import split_oversized
+from clauselake.llm.splitting import finest_cuts, oversized, split_oversized
 from clauselake.llm.toxicity import CATEGORIES, fit_models, with_scores
 from clauselake.session import table
 
@@ -36,13 +36,30 @@ def _p3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p3(spark, d).where("n_pieces > 1").select("tab_name", "row_key", "finest_cut")
+    docs = finest_cuts(table(spark, d, "documents"), "document_id", "file_text", DOCUMENT_LIMIT)
+    clauses = finest_cuts(table(spark, d, "clauses"), "clause_id", "clause_text", CLAUSE_LIMIT)
+    return docs.select(F.lit("documents").alias("tab_name"), "*").unionAll(clauses.select(F.lit("clauses").alias("tab_name"), "*"))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _p3(spark, d).select("tab_name", "row_key", F.inline("pieces"))
 
 
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """For every text over the limit: do its pieces give the text again, keep the limit and the overlap, and stand in order?"""
+    parts = []
+    for tab, k, text, limit in (("documents", "document_id", "file_text", DOCUMENT_LIMIT), ("clauses", "clause_id", "clause_text", CLAUSE_LIMIT)):
+        cut = split_oversized(table(spark, d, tab), k, text, limit, OVERLAP)
+        whole = oversized(table(spark, d, tab), k, text, limit)
+        new = F.transform("pieces", lambda p: F.substring(p["piece_text"], p["overlap"] + 1, F.length(p["piece_text"])))
+        parts.append(cut.join(whole, "row_key").select(
+            F.lit(tab).alias("tab_name"), "row_key", (F.array_join(new, "") == F.col("text")).alias("rejoined"),
+            F.forall("pieces", lambda p: F.length(p["piece_text"]) <= limit).alias("within_limit"),  # noqa: B023
+            F.forall("pieces", lambda p: (p["overlap"] <= OVERLAP) & (F.substring(F.col("text"), p["start_at"] + 1, F.length(p["piece_text"])) == p["piece_text"])).alias("overlap_repeats"),
+            F.forall(F.transform("pieces", lambda p, i: p["piece_no"] == i + 1), lambda ok: ok).alias("ordered")))
+    return parts[0].unionAll(parts[1])
+
+
 def _p5(spark: SparkSession, d: str) -> DataFrame:
     docs = texts_of(table(spark, d, "documents"), "documents", "document_id", "file_text")
     return repair_scans(docs.unionAll(texts_of(table(spark, d, "document_uploads"), "document_uploads", "upload_id", "file_text")))
@@ -62,7 +79,7 @@ def _p6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p6(spark, d).select("doc_id", "item_id")
+    return _p6(spark, d).where("run_words >= 20").select("doc_id", "item_id")  # shorter items, held whole, are in p6_items
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
@@ -108,5 +125,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_texts, p6_found, p6_items, p7_found, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p2_found, p2_groups, p3_found, p3_pieces, p3_rejoined, p5_found, p5_texts, p6_found, p6_items, p7_found, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)
 }

@@ -45,16 +45,27 @@ def _tiles(limit: int, overlap: int) -> str:
     ])
 
 
-def _within(parts: Column, limit: int) -> Column:
-    return F.forall(parts, lambda p: F.length(F.regexp_replace(p, rf"(?U)\A{_S}+|{_S}+\z", "")) <= limit)
+def _units(limit: int) -> str:
+    """Tiles of at most limit characters between their surrounding white space, each up to the last boundary of the strongest kind in reach."""
+    run = rf"[\s\S]{{1,{limit}}}(?<!{_S})"
+    return rf"(?U){_S}*+(?:" + "|".join([
+        rf"{run}(?={_S}*+\z)",
+        rf"{run}(?={_S}*?(?:\f|\n[ \t\r]*(?:\n|\z)))",
+        rf"{run}(?<=[.!?])(?={_S})",
+        rf"{run}(?={_S})",
+        rf"[\s\S]{{1,{limit}}}",
+    ]) + rf"){_S}*+"
 
 
 def finest_cut(text: Column, limit: int) -> Column:
-    """The weakest boundary that pieces within the limit need: paragraph, sentence, word or char."""
-    paragraphs = F.split(text, rf"(?U){_BREAK}")
-    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, rf"(?U)(?<=[.!?]){_S}+")))
-    words = F.split(text, rf"(?U){_S}+")
-    return F.when(_within(paragraphs, limit), "paragraph").when(_within(sentences, limit), "sentence").when(_within(words, limit), "word").otherwise("char")
+    """The weakest boundary that the tiles of a text had to use: paragraph, sentence, word or char."""
+    units = F.regexp_extract_all(text, F.lit(_units(limit)), F.lit(0))
+    inner = F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0)))  # the last tile ends with the text
+    kind = lambda t: (
+        F.when(t.rlike(rf"(?U)(?:\f|\n[ \t\r]*\n){_S}*\z"), 0).when(t.rlike(rf"(?U)[.!?]{_S}+\z"), 1).when(t.rlike(rf"(?U){_S}\z"), 2).otherwise(3)
+    )
+    weakest = F.element_at(F.array(*[F.lit(x) for x in ("paragraph", "sentence", "word", "char")]), F.coalesce(F.array_max(F.transform(inner, kind)), F.lit(0)) + 1)
+    return F.when(text.rlike(rf"(?U)\A{_S}*+\z"), "paragraph").otherwise(weakest)
 
 
 def tiles(text: Column, limit: int, overlap: int) -> Column:
@@ -99,6 +110,11 @@ def oversized(df: DataFrame, key_col: str, text_col: str, limit: int) -> DataFra
     return rows.groupBy("k").agg(F.min("id").alias("row_key"), F.max("text").alias("text")).select("row_key", "text")
 
 
+def finest_cuts(df: DataFrame, key_col: str, text_col: str, limit: int) -> DataFrame:
+    """(row_key, finest_cut) of every text over the limit, from its tiles without overlap."""
+    return oversized(df, key_col, text_col, limit).select("row_key", finest_cut(F.col("text"), limit).alias("finest_cut"))
+
+
 def split_oversized(df: DataFrame, key_col: str, text_col: str, limit: int, overlap: int = 200) -> DataFrame:
     """(row_key, finest_cut, n_pieces, pieces) for every text over the limit."""
     cut = oversized(df, key_col, text_col, limit).withColumn("tiles", tiles(F.col("text"), limit, overlap))

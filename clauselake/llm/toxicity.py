@@ -8,7 +8,7 @@ hateful, sexual, each fed the probabilities of the earlier ones, which in traini
 predictions (folds by document). A document's score is that of its highest sentence.
 
 Training runs in one task on a bounded sample: at most ``max_docs`` labelled documents, the first in the
-order of a seeded hash. Scoring covers every document and its whole text, without a shuffle; the models
+order of a seeded hash, and about ``max_plain`` of their sentences without a telling word as counter-examples. Scoring covers every document and its whole text, without a shuffle; the models
 are arrays of fixed size.
 
 Edge cases: null and empty texts score 0; ratings of one document by several raters count by majority
@@ -42,7 +42,6 @@ _SPLIT = re.compile(r"(?<=[.!?])(?=[^\W\d_])")
 _SPACED = re.compile(r"(?<!\S)\W?[^\W\d_](?: [^\W\d_]){2,}(?=[\W]|$)")
 _END = 0
 _SURE = 12.0
-_PLAIN = 15_000  # ordinary sentences of the labelled sample used as counter-examples
 
 
 def plain_word(chunk: str) -> list[str]:
@@ -147,7 +146,7 @@ def _telling(f: np.ndarray, doc: np.ndarray, pos: np.ndarray, neg: np.ndarray) -
     return np.where((p / a > rate) & (p >= 2) & (g > _SURE), g, 0.0)
 
 
-def train(texts: list[str], verdicts: list[list[str]], folds: int = 3, seed: int = 5) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def train(texts: list[str], verdicts: list[list[str]], folds: int = 3, seed: int = 5, max_plain: int = 15_000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """{category: (weights of hashed features, weights of earlier probabilities and bias)}."""
     f, s, sent_doc, _ = features(texts)
     n_sent, n_doc = len(sent_doc), len(texts)
@@ -158,7 +157,7 @@ def train(texts: list[str], verdicts: list[list[str]], folds: int = 3, seed: int
     tells = {c: _telling(f, sent_doc[s], share[c] >= 0.5, clean) for c in CATEGORIES if (share[c] >= 0.5).any()}
     telling = np.any([t > 0 for t in tells.values()], axis=0) if tells else np.zeros(1 << _BITS, dtype=bool)
     # sentences with some telling feature, and of the others as many as a fit in one task can hold
-    near = (np.bincount(s, telling[f], n_sent) > 0) | (rng.random(n_sent) < _PLAIN / max(1, n_sent))
+    near = (np.bincount(s, telling[f], n_sent) > 0) | (rng.random(n_sent) < max_plain / max(1, n_sent))
     kept = near[s]
     used = np.bincount(f[kept], minlength=1 << _BITS) >= 3
     column = np.cumsum(used) - 1
@@ -223,7 +222,7 @@ def score(texts, models) -> np.ndarray:
     return out
 
 
-def fit_models(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, verdict_col: str, *, max_docs: int = 20_000, seed: int = 5):
+def fit_models(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, verdict_col: str, *, max_docs: int = 20_000, max_plain: int = 15_000, seed: int = 5):
     """Models of ``train`` from at most max_docs labelled documents, fitted in one task."""
     rated = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("id")).agg(F.sort_array(F.collect_list(F.lower(verdict_col))).alias("verdicts"))
     some = rated.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_docs)
@@ -232,7 +231,7 @@ def fit_models(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, l
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_ = [(t, list(v)) for b in batches for t, v in zip(b.text, b.verdicts)]
-        m = train([t for t, _ in all_], [v for _, v in all_], seed=seed) if all_ else {}
+        m = train([t for t, _ in all_], [v for _, v in all_], seed=seed, max_plain=max_plain) if all_ else {}
         yield pd.DataFrame([(c, w.astype("<f4").tobytes(), r.astype("<f8").tobytes()) for c, (w, r) in m.items()], columns=["category", "w", "r"])
 
     rows = sample.select("text", "verdicts").mapInPandas(run, "category string, w binary, r binary").collect()  # 3 rows of 2 MB

@@ -66,3 +66,14 @@ def test_repetitive_text():
     h = lambda s: hashed([s])[0]
     assert longest_run(h("a " * 50), h("a " * 30), 20) == 30
     assert longest_run(h("a b " * 5 + "c"), h("b a b a b c"), 4) == 6
+
+
+def test_size_partitions_of_short_and_long_items(spark):
+    """Items shorter than min_run are searched whole in a partition of their own length; a run of fewer than min_run words of a long item is no case."""
+    w = [f"w{i}" for i in range(300)]
+    long, six, nine = " ".join(w[:40]), " ".join(w[100:106]), " ".join(w[200:209])
+    docs = [(1, "a b " + " ".join(w[10:30]) + " c"), (2, "x " + six + " y"), (3, nine), (4, " ".join(w[10:29])), (5, " ".join(w[100:105])), (6, long + " z " + six)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(7, long), (8, six), (9, nine)], "item_id long, text string")
+    got = {(r.id, r.item_id): (r.run_words, round(r.passage_containment, 3)) for r in leaks(d, "doc_id", "text", i, "item_id", "text", min_run=20).collect()}
+    assert got == {(1, 7): (20, round(1 / 21, 3)), (2, 8): (6, 1.0), (3, 9): (9, 1.0), (6, 7): (40, 1.0), (6, 8): (6, 1.0)}

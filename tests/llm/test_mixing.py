@@ -58,4 +58,4 @@ def test_empty_tables_and_tokens(spark):
     assert mixer(spark, [], [("m", 1.0, "a", 0.5, 2)]).selection().count() == 0
     assert mixer(spark, [(1, "a b", "s")], []).selection().count() == 0
     m = mixer(spark, [(1, "hello world, it's fine", "s")], [("m", 1.0, "s", 1.0, 1)])
-    assert m.total == len(encoder(None).encode_ordinary("hello world, it's fine"))
+    assert m.total == len(encoder().encode_ordinary("hello world, it's fine"))

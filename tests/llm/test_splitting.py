@@ -71,3 +71,10 @@ def test_edge_cases(spark):
     check(big, r, 12_000, 200)
     df = spark.createDataFrame([("a", "x" * 11, 1, "p")], "id string, text string, pieces int, row_key string")
     assert split_oversized(df, "id", "text", 10, 2).count() == 1
+
+
+def test_units_of_just_the_limit_between_white_space(spark):
+    """White space around a unit does not count, however long."""
+    a, b = "x" * 100, ("y" * 49 + ". ") * 2
+    rows = [("par", f"{a}\n \n{a}\r\n\r\n{' ' * 200}{a}"), ("sen", f"{'s' * 99}.{' ' * 150}{'t' * 99}! {b}"), ("wor", f"{'s' * 100}{' ' * 150}{'t' * 100} u"), ("chr", f"{'s' * 101} t"), ("bla", " " * 300)]
+    assert {k: r.finest_cut for k, r in run(spark, rows, 100).items()} == {"par": "paragraph", "sen": "sentence", "wor": "word", "chr": "char", "bla": "paragraph"}
