@@ -54,12 +54,12 @@ def p1_composite(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_key", "ref_state")
 
 
-def _p4_tree(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(table(spark, d, "clause_units"), "clause_unit_id", "parent_unit_id")
+def _p4_tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return hierarchy(table(spark, d, "clause_units"), "clause_unit_id", "parent_unit_id", paths=paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p4_tree(spark, d).select(F.col("node_id").alias("clause_unit_id"), F.col("root_id").alias("root_unit_id"), F.col("depth").alias("unit_depth"), "node_state")
+    return _p4_tree(spark, d, paths=False).select(F.col("node_id").alias("clause_unit_id"), F.col("root_id").alias("root_unit_id"), F.col("depth").alias("unit_depth"), "node_state")
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_roots: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for lineage cuts: the cluster's spark.checkpoint.dir, else (tests, local runs) a temporary one.
 
@@ -26,22 +29,35 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), f"clauselake-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_roots.setdefault(spark.sparkContext.applicationId, os.path.join(tempfile.gettempdir(), f"clauselake-{os.getuid()}"))
     return root.rstrip("/")
 
 
-def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below scratch_root, removed when the session ends."""
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, label: str = "t") -> DataFrame:
+    """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = scratch_folder(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_to(df: DataFrame, folder: str, part: int) -> tuple[DataFrame, int]:
+    """df written as one numbered part of a folder, read back, and its rows; the whole folder is read by ``folder/*``."""
+    seen = Observation()
+    path = f"{folder}/{part:07d}"
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def written_rows(df: DataFrame, label: str = "t") -> tuple[DataFrame, int]:
     """written, and the number of rows, counted while writing."""
     seen = Observation()

@@ -9,8 +9,12 @@ T = [D(2025, 1, i + 1) for i in range(4)]
 
 
 def run(spark, rows):
+    """The result by levels alone, after checking that one task at the end (all levels, or the last of them) gives the same rows and paths."""
     df = spark.createDataFrame(rows, "id string, parent string, created_at timestamp")
-    return {x.node_id: (x.root_id, x.depth, x.node_state) for x in hierarchy(df, "id", "parent").collect()}
+    trees = [sorted(hierarchy(df, "id", "parent", finish=n).collect()) for n in (0, 30, 10_000)]
+    assert trees[0] == trees[1] == trees[2]
+    assert sorted(hierarchy(df, "id", "parent", paths=False).collect()) == [tuple(r)[:4] for r in trees[0]]
+    return {x.node_id: (x.root_id, x.depth, x.node_state) for x in trees[0]}
 
 
 def brute(parent):
