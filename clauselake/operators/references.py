@@ -1,7 +1,8 @@
 """References to records that do not exist.
 
 ``reference_states`` takes referring rows with a (possibly composite) reference and a referenced
-table. References are grouped by null mask, and each mask is joined on its non-null columns only:
+table. References are grouped by null mask; each mask is anti-joined on its non-null columns for what is
+missing, and joined on them for the state of what is there:
 
 * ``simple``  - a reference with any null column refers to nothing (state ``none``);
 * ``full``    - all null refers to nothing, a partly null reference is ``invalid``;
@@ -9,7 +10,8 @@ table. References are grouped by null mask, and each mask is joined on its non-n
 
 States, the first that applies: ``none`` (refers to nothing), ``invalid``, ``missing`` (no such row),
 ``deleted`` (the latest row of the target is deleted; under ``partial``: of every matching target),
-``late`` (the earliest row of the target is younger than the referring row), ``ok``.
+``late`` (the earliest row of the target is younger than the referring row; under ``partial``: of every
+matching target that is not deleted), ``ok``.
 
 Edge cases: null, empty and blank key columns count as null; repeated target rows are folded by key;
 of target rows with one timestamp a deleted one counts as the later; null timestamps sort first and
@@ -20,6 +22,7 @@ either side with any name are ignored or passed through (internal names start wi
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,7 @@ def _targets(target: DataFrame, cols: Sequence[str], created: str, deleted: Colu
     keys = [key(F.col(c)).alias(f"__r_k{i}") for i, c in enumerate(cols)]
     rows = target.select(*keys, F.col(created).alias("__r_at"), F.coalesce(deleted, F.lit(False)).alias("__r_del"))
     return rows.groupBy(*[f"__r_k{i}" for i in range(len(cols))]).agg(
-        F.max(F.struct("__r_at", "__r_del"))["__r_del"].alias("__r_del"), F.min("__r_at").alias("__r_first"), F.lit(True).alias("__r_hit")
+        F.max(F.struct("__r_at", "__r_del"))["__r_del"].alias("__r_del"), F.min("__r_at").alias("__r_first")
     )
 
 
@@ -41,7 +44,7 @@ def reference_states(
     refs: DataFrame, ref_cols: Sequence[str], target: DataFrame, target_cols: Sequence[str], *,
     ref_created: str, target_created: str, target_deleted: Column, match: str = "simple",
 ) -> DataFrame:
-    """refs with a column ``ref_state``. One join for each null mask that the match semantics let through."""
+    """refs with a column ``ref_state``. An anti-join and a join, over the same exchange, for each null mask that the match semantics let through."""
     if match not in ("simple", "full", "partial"):
         raise ValueError(match)
     refs = refs.drop("ref_state")
@@ -54,18 +57,17 @@ def reference_states(
     out = []
     for m in range(1, full + 1) if match == "partial" else [full]:
         on = [i for i in range(n) if m >> i & 1]
-        t = parts if m == full else (
-            parts.where(reduce(lambda a, b: a & b, [F.col(f"__r_k{i}").isNotNull() for i in on]))
-            .groupBy(*[f"__r_k{i}" for i in on])
-            .agg(F.min("__r_del").alias("__r_del"), F.min("__r_first").alias("__r_first"), F.lit(True).alias("__r_hit"))
-        )
-        t = t.select(*[f"__r_k{i}" for i in on], "__r_del", "__r_first", "__r_hit")
+        if m == full:
+            t = parts
+        else:  # deleted if every match is; the first among those that are not
+            some = parts.where(reduce(lambda a, b: a & b, [F.col(f"__r_k{i}").isNotNull() for i in on]))
+            t = some.groupBy(*[f"__r_k{i}" for i in on]).agg(F.min("__r_del").alias("__r_del"), F.min(F.when(~F.col("__r_del"), F.coalesce("__r_first", F.lit(datetime.min)))).alias("__r_first"))
+        t = t.select(*[f"__r_k{i}" for i in on], "__r_del", "__r_first")
         cond = reduce(lambda a, b: a & b, [F.col(f"__r_q{i}") == F.col(f"__r_k{i}") for i in on])
-        state = (
-            F.when(F.col("__r_hit").isNull(), "missing").when(F.col("__r_del"), "deleted")
-            .when(F.col("__r_first") > F.col(f"`{ref_created}`"), "late").otherwise("ok")
-        )
-        out.append(keyed.where(F.col("__r_mask") == m).join(t, cond, "left").withColumn("ref_state", state).select(*[f"`{c}`" for c in refs.columns], "ref_state"))
+        mine = keyed.where(F.col("__r_mask") == m)
+        state = F.when(F.col("__r_del"), "deleted").when(F.col("__r_first") > F.col(f"`{ref_created}`"), "late").otherwise("ok")
+        for rows, found in ((mine.join(t, cond, "left_anti"), F.lit("missing")), (mine.join(t, cond), state)):
+            out.append(rows.withColumn("ref_state", found).select(*[f"`{c}`" for c in refs.columns], "ref_state"))
     idle = keyed.where(F.col("__r_mask") == 0 if match == "partial" else F.col("__r_mask") != full)
     out.append(idle.withColumn("ref_state", F.when((F.col("__r_mask") != 0) & F.lit(match == "full"), "invalid").otherwise("none")).select(*[f"`{c}`" for c in refs.columns], "ref_state"))
     return reduce(DataFrame.unionAll, out)

@@ -44,16 +44,25 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(_p1_states(spark, d))
 
 
-def p1_composite(spark: SparkSession, d: str) -> DataFrame:
-    """Composite references (clause_id, clause_unit_id) of obligation sources with partial match: one join a null mask."""
-    refs = referring_rows(table(spark, d, "canonical_obligation_sources"), "canonical_obligation_sources", "id", ["clause_id", "clause_unit_id"])
+def _p1_pairs(spark: SparkSession, d: str, match: str) -> DataFrame:
+    refs = referring_rows(table(spark, d, "canonical_obligation_sources"), "canonical_obligation_sources", "id", ["document_id", "clause_id"])
     s = reference_states(
-        refs, ["ref_0", "ref_1"], table(spark, d, "clause_units"), ["clause_id", "clause_unit_id"],
-        ref_created="created_at", target_created="created_at", target_deleted=F.lit(False), match="partial",
+        refs, ["ref_0", "ref_1"], table(spark, d, "clauses"), ["document_id", "clause_id"],
+        ref_created="created_at", target_created="created_at", target_deleted=_deleted("review_status"), match=match,
     )
     return s.select("row_key", "ref_state")
 
 
+def p1_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Composite references (document_id, clause_id) of obligation sources to clauses, partial match: what is not null must agree with one row."""
+    return _p1_pairs(spark, d, "partial")
+
+
+def p1_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same with full match: a partly null reference is invalid."""
+    return _p1_pairs(spark, d, "full")
+
+
 def _p4_tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
     return hierarchy(table(spark, d, "clause_units"), "clause_unit_id", "parent_unit_id", paths=paths)
 
@@ -84,4 +93,4 @@ def p4_cycle_descendants(spark: SparkSession, d: str) -> DataFrame:
     return cycle_pairs(_p4_tree(spark, d), table(spark, d, "clause_units"), "clause_unit_id", "parent_unit_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_report, p1_composite, p4_found, p4_paths, p4_descendants, p4_cycle_paths, p4_cycle_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_states, p1_report, p1_composite, p1_full, p4_found, p4_paths, p4_descendants, p4_cycle_paths, p4_cycle_descendants)}

@@ -7,12 +7,18 @@ def _k(c: str) -> str:
     return _K.format(c=c)
 
 
+def _first(row: str, *refs: str) -> str:
+    """The earliest row of each key, ties by the references (null first) and the key."""
+    order = ", ".join(f"({r} IS NOT NULL)::INT, {r}" for r in refs)
+    return f"SELECT * FROM {{tab}} WHERE {_k(row)} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_k(row)} ORDER BY created_at NULLS FIRST, {order}, {row}) = 1"
+
+
 def _refs(tab: str, row: str, ref: str) -> str:
-    return f"SELECT '{tab}' AS tab_name, min({row}) AS row_key, {_k('min(' + ref + ')')} AS ref, min(created_at) AS created_at FROM {tab} GROUP BY {_k(row)}"
+    return f"SELECT '{tab}' AS tab_name, {row} AS row_key, {_k(ref)} AS ref, created_at FROM ({_first(row, ref).format(tab=tab)})"
 
 
 def _target(tab: str, k: str, status: str) -> str:
-    return f"SELECT {_k(k)} AS k, min(created_at) AS first_at, max_by(coalesce(lower(trim({status}, ' \t')) = 'deleted', false), created_at) AS del FROM {tab} GROUP BY 1"
+    return f"SELECT {_k(k)} AS k, min(created_at) AS first_at, max_by(coalesce(lower(trim({status}, ' \t')) = 'deleted', false), (created_at, coalesce(lower(trim({status}, ' \t')) = 'deleted', false))) AS del FROM {tab} GROUP BY 1"
 
 
 def _states(refs: str, target: str) -> str:
@@ -28,6 +34,10 @@ _P1 = " UNION ALL ".join([
     _states(_refs("canonical_obligation_sources", "id", "clause_id"), _CLAUSE),
 ])
 
+_DEL = "coalesce(lower(trim(review_status, ' \t')) = 'deleted', false)"
+_PAIRS = f"""WITH r AS (SELECT id AS row_key, {_k('document_id')} AS d, {_k('clause_id')} AS c, created_at AS ts FROM ({_first('id', 'document_id', 'clause_id').format(tab='canonical_obligation_sources')})),
+t AS (SELECT {_k('document_id')} AS d, {_k('clause_id')} AS c, max_by({_DEL}, (created_at, {_DEL})) AS del, min(created_at) AS ts0 FROM clauses GROUP BY 1, 2)"""
+
 _TREE = f"""WITH RECURSIVE latest AS (
   SELECT {_k('clause_unit_id')} AS k, min(clause_unit_id) AS node_id, nullif(max_by(coalesce({_k('parent_unit_id')}, ''), created_at), '') AS p FROM clause_units GROUP BY 1),
 nodes AS (SELECT l.k, l.node_id, q.k AS p FROM latest l LEFT JOIN latest q ON l.p = q.k),
@@ -46,14 +56,15 @@ SQL = {
     "p1_found": f"SELECT tab_name, row_key, ref_state, strftime(created_at, '%Y-%m') AS ref_month FROM ({_P1}) WHERE ref_state IN ('missing', 'deleted', 'late')",
     "p1_states": f"SELECT tab_name, row_key, ref_state FROM ({_P1})",
     "p1_report": f"SELECT tab_name, strftime(created_at, '%Y-%m') AS ref_month, ref_state, count(*) AS n_rows FROM ({_P1}) GROUP BY 1, 2, 3",
-    "p1_composite": f"""
-WITH r AS (SELECT min(id) AS row_key, {_k('min(clause_id)')} AS c, {_k('min(clause_unit_id)')} AS u, min(created_at) AS ts FROM canonical_obligation_sources GROUP BY {_k('id')}),
-t AS (SELECT {_k('clause_id')} AS c, {_k('clause_unit_id')} AS u, min(created_at) AS ts FROM clause_units GROUP BY 1, 2),
-tc AS (SELECT c, min(ts) AS ts FROM t WHERE c IS NOT NULL GROUP BY 1),
-tu AS (SELECT u, min(ts) AS ts FROM t WHERE u IS NOT NULL GROUP BY 1)
-SELECT r.row_key, CASE WHEN r.c IS NULL AND r.u IS NULL THEN 'none'
-  WHEN coalesce(t.ts, tc.ts, tu.ts) IS NULL THEN 'missing' WHEN coalesce(t.ts, tc.ts, tu.ts) > r.ts THEN 'late' ELSE 'ok' END AS ref_state
-FROM r LEFT JOIN t ON r.c = t.c AND r.u = t.u LEFT JOIN tc ON r.u IS NULL AND r.c = tc.c LEFT JOIN tu ON r.c IS NULL AND r.u = tu.u""",
+    "p1_composite": f"""{_PAIRS},
+td AS (SELECT d, bool_and(del) AS del, min(ts0) FILTER (NOT del) AS first_at FROM t WHERE d IS NOT NULL GROUP BY 1),
+tc AS (SELECT c, bool_and(del) AS del, min(ts0) FILTER (NOT del) AS first_at FROM t WHERE c IS NOT NULL GROUP BY 1)
+SELECT r.row_key, CASE WHEN r.d IS NULL AND r.c IS NULL THEN 'none' WHEN coalesce(t.del, td.del, tc.del) IS NULL THEN 'missing'
+  WHEN coalesce(t.del, td.del, tc.del) THEN 'deleted' WHEN coalesce(t.ts0, td.first_at, tc.first_at) > r.ts THEN 'late' ELSE 'ok' END AS ref_state
+FROM r LEFT JOIN t ON r.d = t.d AND r.c = t.c LEFT JOIN td ON r.c IS NULL AND r.d = td.d LEFT JOIN tc ON r.d IS NULL AND r.c = tc.c""",
+    "p1_full": f"""{_PAIRS}
+SELECT r.row_key, CASE WHEN r.d IS NULL AND r.c IS NULL THEN 'none' WHEN r.d IS NULL OR r.c IS NULL THEN 'invalid' WHEN t.del IS NULL THEN 'missing'
+  WHEN t.del THEN 'deleted' WHEN t.ts0 > r.ts THEN 'late' ELSE 'ok' END AS ref_state FROM r LEFT JOIN t ON r.d = t.d AND r.c = t.c""",
     "p4_found": f"""{_WALK}
 SELECT node_id AS clause_unit_id, root_id AS root_unit_id, depth AS unit_depth, 'tree' AS node_state FROM tree
 UNION ALL SELECT n.node_id, m.node_id, e.steps::INTEGER, CASE WHEN e.steps = 0 THEN 'cycle' ELSE 'below_cycle' END FROM ends e JOIN nodes n ON n.k = e.k JOIN nodes m ON m.k = e.low""",

@@ -37,6 +37,13 @@ def test_composite_match_semantics(spark, match, want):
     assert states(spark, refs, [("x", "1", "active", T0), ("x", "2", "active", T0)], match, 2) == want
 
 
+def test_partial_match_with_deleted_targets(spark):
+    """A deleted target can be neither the match nor the reason that a reference is not late."""
+    target = [("a", "1", "active", T0), ("a", "1", "deleted", T0), ("a", "2", "active", T2), ("b", "1", "deleted", T0), ("b", "2", "Deleted", T2), ("c", "1", "deleted", T2), ("c", "2", "active", T0)]
+    refs = [("late", "a", None, T1), ("gone", "b", None, T1), ("ok", "c", None, T1), ("exact", "a", "1", T1), ("one", None, "1", T1), ("two", None, "2", T1), ("no", None, "3", T1)]
+    assert states(spark, refs, target, "partial", 2) == {"late": "late", "gone": "deleted", "ok": "ok", "exact": "deleted", "one": "deleted", "two": "ok", "no": "missing"}
+
+
 def test_empty_tables_and_extra_columns(spark):
     assert states(spark, [], [("d", "active", T0)]) == {}
     assert states(spark, [("a", "d", T1)], []) == {"a": "missing"}
