@@ -1,7 +1,8 @@
 """Lines of scanned text: page furniture, words cut at line ends, body lines.
 
-A text is taken as scanned if its lines are wrapped: at least three lines with text, none longer than
-``WRAPPED`` characters. All rules look at one text alone.
+A text is taken as scanned if it has three lines with text or more and at most ``_FEW`` of its characters stand in
+lines longer than ``WRAPPED``; as clean if at least ``_MOST`` of them do, or if it is one line. What lies between, and two
+short lines, are neither: they stay as they are, but are no source of words. All rules look at one text alone.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 from dataclasses import dataclass, field
 
 WRAPPED = 130
+_FEW, _MOST = 0.4, 0.8
 MARKS = "-­‐‑¬"
 _NUMBER = re.compile(
     r"(?:[-–—]\s*\d+\s*[-–—]|[\[(]\s*\d+\s*[\])]|(?:page|pg\.?|p\.)\s*\d+(?:\s*(?:of|/)\s*\d+)?|\d+\s*(?:of|/)\s*\d+|\d+\s*\|\s*page|[ivxl]+|(\d+))", re.I)
@@ -20,15 +22,24 @@ _CUT = re.compile(rf"[^\W_][\w@!|$'(]*(?:-[\w@!|$'(]+)*[{MARKS}]$")
 _SHAPE = re.compile(r"\d+")
 
 
-def is_scanned(text: str | None) -> bool:
+def kind_of(text: str | None) -> str:
+    """scanned, clean or unsure."""
     if not text:
-        return False
-    rows = 0
+        return "clean"
+    rows = long = filled = 0
     for line in text.split("\n"):
-        if len(line) > WRAPPED:
-            return False
-        rows += bool(line.strip())
-    return rows >= 3
+        n = len(line)
+        if line.strip():
+            rows += 1
+            filled += n
+            long += n if n > WRAPPED else 0
+    if rows >= 3 and long <= _FEW * filled:
+        return "scanned"
+    return "clean" if rows < 2 or long >= _MOST * filled else "unsure"
+
+
+def is_scanned(text: str | None) -> bool:
+    return kind_of(text) == "scanned"
 
 
 @dataclass
@@ -73,7 +84,7 @@ def layout(text: str) -> Layout:
     for i in bare:  # a column of numbers is no page furniture
         if i - 1 in bare or i + 1 in bare:
             kinds[i] = "body"
-    widths = sorted((len(lines[i].rstrip()) for i in filled if kinds[i] == "body"), reverse=True)
+    widths = sorted((len(lines[i].rstrip()) for i in filled if kinds[i] == "body" and len(lines[i]) <= WRAPPED), reverse=True)
     width = widths[len(widths) * 3 // 100] if widths else 0  # the few longest may be furniture
     title = " ".join(stripped[0].lower().split()) if kinds[0] == "heading" else ""
     words = title.split()
