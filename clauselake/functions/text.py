@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,9 +34,10 @@ def drop_page_lines(c: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key in which numbers count by value: 'Section 10' after 'Section 9'. Numbers up to ten digits."""
+    """Sort key in which numbers of any length count by value: 'Section 10' after 'Section 9'. A number is led by its length."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 10, "0")).otherwise(x)), "")
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(x)).cast("string"), 5, "0"), digits(x))).otherwise(x)), "")
 
 
 def _terms(query: str) -> list[tuple[str, bool]]:
@@ -153,18 +155,24 @@ def numbering_scheme(c: Column) -> Column:
     return F.when((plain == "decimal-period") & (top >= 3), F.when(votes["numeric-title"] >= votes["numeric"], "numeric-title").otherwise("numeric")).otherwise(plain)
 
 
-# Phrases that try to steer a language model.
-STEERING = [
-    r"(?:ignore|disregard)\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+(?:instructions?|prompts?|context|rules?|text)",
-    r"forget\s+(?:everything|all\s+(?:previous|prior))\s+(?:instructions?|context|above)",
-    r"\bDAN\s+mode\b", r"\bjailbreak\b", r"new\s+(?:system\s+)?prompt\s*:", r"\[SYSTEM\]", r"<\s*system\s*>",
-]
+STEER_VERBS = ("ignore", "disregard", "forget", "override", "bypass", "skip")
+STEER_OBJECTS = ("instructions?", "prompts?", "rules?", "guidelines?", "directions?")
+STEER_ROLES = ("system", "assistant", "developer")
+
+
+def steering(verbs: Sequence[str] = STEER_VERBS, objects: Sequence[str] = STEER_OBJECTS, roles: Sequence[str] = STEER_ROLES, between: int = 4) -> str:
+    """Pattern of text that addresses a language model: a verb and its object with few words between, or a role in brackets or before a colon."""
+    order = rf"\b(?:{'|'.join(verbs)})\b(?:\s+\w+){{0,{between}}}?\s+(?:{'|'.join(objects)})\b"
+    who = "|".join(roles)
+    return rf"(?i)({order}|[<\[]\s*/?\s*(?:{who})\s*[>\]]|\b(?:{who})\s+(?:prompt|message)\s*:)"
 
 
-def neutralize(c: Column, longest: int = 20_000) -> Column:
-    """Control characters dropped, steering phrases bracketed, cut at ``longest`` with a note; null gives ''."""
+def neutralize(c: Column, longest: int | None = None, pattern: str | None = None) -> Column:
+    """Control characters dropped, steering phrases bracketed, cut at ``longest`` with a note if a length is given; null gives ''."""
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    t = F.regexp_replace(t, "(?i)(" + "|".join(STEERING) + ")", "[BLOCKED: $1]")
+    t = F.regexp_replace(t, pattern or steering(), "[BLOCKED: $1]")
+    if longest is None:
+        return t
     return F.when(F.length(t) > longest, F.concat(F.substring(t, 1, longest), F.lit("\n[Content truncated]"))).otherwise(t)
 
 

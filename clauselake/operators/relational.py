@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clauselake.session import written
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order (total, for a defined result)."""
+    """The first row of each key in the given order (total, for a defined result). Each task keeps one row a key before the shuffle (window group limit)."""
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
@@ -20,8 +22,21 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df range partitioned by keys and order and written, with __p, the number of the partition: a hot key spans several."""
+    return written(df.repartitionByRange(*keys, *order).withColumn("__p", F.spark_partition_id()), "ranged")
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "seq") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    """Number of each row within its key, from 1; a hot key is counted in ranges that are added up, not in one task."""
+    parts = ranged(df, keys, order)
+    counts = parts.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*keys, "__p", (F.sum("__n").over(W.partitionBy(*keys).orderBy("__p")) - F.col("__n")).alias("__b")).where("__b > 0")  # only keys that span partitions
+    same = F.col("p.__p") == F.col("b.__p")
+    for k in keys:
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"b.{k}"))
+    seq = parts.withColumn("__s", F.row_number().over(W.partitionBy(*keys, "__p").orderBy(*order))).alias("p")
+    return seq.join(before.alias("b"), same, "left").select(*[F.col(f"p.{c}") for c in df.columns if c != name], (F.col("__s") + F.coalesce("__b", F.lit(0))).cast("int").alias(name))
 
 
 def next_ids(df: DataFrame, existing: DataFrame, id_col: str, prefix: str, order: Sequence[Column], width: int = 3) -> DataFrame:
@@ -57,8 +72,14 @@ def elementary_segments(spans: DataFrame, key: str, start: str, end: str) -> Dat
     ok = spans.where(F.col(start) < F.col(end))
     edges = ok.select(key, F.col(start).alias("at"), F.lit(1).alias("d")).unionAll(ok.select(key, F.col(end).alias("at"), F.lit(-1).alias("d")))
     steps = edges.groupBy(key, "at").agg(F.sum("d").alias("d"))
-    w = W.partitionBy(key).orderBy("at")
-    cut = steps.select(key, F.col("at").alias("seg_start"), F.lead("at").over(w).alias("seg_end"), F.sum("d").over(w).alias("n_spans"))
+    parts = ranged(steps, [key], [F.col("at")])  # a hot key's axis in ranges: sums before each range, and where the next begins
+    w = W.partitionBy(key).orderBy("__p")
+    border = parts.groupBy(key, "__p").agg(F.sum("d").alias("n"), F.min("at").alias("from"))  # a row a key and partition
+    border = border.select(F.col(key).alias("__k"), F.col("__p").alias("__q"), (F.sum("n").over(w) - F.col("n")).alias("base"), F.lead("from").over(w).alias("after")).where("base <> 0 OR after IS NOT NULL")
+    inside = W.partitionBy(key, "__p").orderBy("at")
+    cut = parts.select(key, "__p", F.col("at").alias("seg_start"), F.lead("at").over(inside).alias("nxt"), F.sum("d").over(inside).alias("n"))
+    cut = cut.join(border, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q")), "left")
+    cut = cut.select(key, "seg_start", F.coalesce("nxt", "after").alias("seg_end"), (F.col("n") + F.coalesce("base", F.lit(0))).alias("n_spans"))
     return cut.where("seg_end IS NOT NULL AND n_spans > 0")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.functions.arrays import three_valued_and, three_valued_or
 from clauselake.session import written_rows
 
 
@@ -22,25 +23,33 @@ def compare(op: Column, value: Column, wanted: Column) -> Column:
     )
 
 
-def evaluate(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
-    """nodes: (tree_id, node_id, parent_id, op, truth): op AND, OR or null for a leaf with truth.
+def evaluate(nodes: DataFrame) -> DataFrame:
+    """nodes: (tree_id, node_id, parent_id, op, truth[, negated]): op AND, OR or null for a leaf with truth; a negated node counts as its opposite.
 
-    Returns (tree_id, node_id, truth) for every node. Bottom-up: each round folds the nodes of one height, so
-    the number of rounds is the height of the highest tree. An inner node without children is unknown.
+    Returns (tree_id, node_id, truth, verdict) for every node; verdict is true, false, unknown, or open for nodes on or
+    above a cycle, which have no value. Bottom-up: each round folds what the last one settled into counts of
+    the nodes still open, so the rounds are the height of the highest tree and settled nodes are read once.
+    An inner node without children is unknown.
     """
-    kids = nodes.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_kids"))
+    negated = F.coalesce("negated", F.lit(False)) if "negated" in nodes.columns else F.lit(False)
+    nodes = nodes.select("tree_id", "node_id", "parent_id", "op", "truth", negated.alias("negated"))
+    own = lambda t: F.when(F.col("negated"), ~t).otherwise(t)
+    kids = nodes.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_kids"))
     todo = nodes.join(kids, ["tree_id", "node_id"], "left")
-    done, n = written_rows(todo.where("op IS NULL OR n_kids IS NULL").select("tree_id", "node_id", "parent_id", F.when(F.col("op").isNull(), F.col("truth")).alias("truth")), "rules")
-    all_done = done
-    rest, left = written_rows(todo.where("op IS NOT NULL AND n_kids IS NOT NULL").select("tree_id", "node_id", "parent_id", "op", "n_kids"), "rules")
-    for _ in range(max_depth):
-        if not left:
-            break
-        folded = all_done.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
-            three_valued_and(F.col("truth")).alias("all_of"), three_valued_or(F.col("truth")).alias("any_of"), F.count(F.lit(1)).alias("n"))
-        ready, n = written_rows(rest.join(folded, ["tree_id", "node_id"]).where("n = n_kids").select("tree_id", "node_id", "parent_id", F.when(F.col("op") == "AND", F.col("all_of")).otherwise(F.col("any_of")).alias("truth")), "rules")
-        if not n:
-            break
-        all_done = all_done.unionAll(ready)
-        rest, left = written_rows(rest.join(ready.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_anti"), "rules")
-    return all_done.select("tree_id", "node_id", "truth")
+    leaf = F.col("op").isNull() | F.col("n_kids").isNull()
+    new, n = written_rows(todo.where(leaf).select("tree_id", "node_id", "parent_id", own(F.when(F.col("op").isNull(), F.col("truth"))).alias("truth")), "rules")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("n_done", "n_true", "n_false")]
+    left, n_left = written_rows(todo.where(~leaf).select("tree_id", "node_id", "parent_id", "op", "negated", "n_kids", *zero), "rules")
+    settled = [new]
+    while n and n_left:
+        got = new.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
+            F.count(F.lit(1)).alias("d"), F.count_if(F.col("truth")).alias("t"), F.count_if(~F.col("truth")).alias("f"))
+        plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+        left, _ = written_rows(left.join(got, ["tree_id", "node_id"], "left").select("tree_id", "node_id", "parent_id", "op", "negated", "n_kids", plus("n_done", "d"), plus("n_true", "t"), plus("n_false", "f")), "rules")
+        unknown = F.col("n_true") + F.col("n_false") < F.col("n_kids")
+        truth = F.when(F.col("op") == "AND", F.when(F.col("n_false") > 0, False).when(unknown, F.lit(None)).otherwise(True)).otherwise(F.when(F.col("n_true") > 0, True).when(unknown, F.lit(None)).otherwise(False))
+        new, n = written_rows(left.where("n_done = n_kids").select("tree_id", "node_id", "parent_id", own(truth).alias("truth")), "rules")
+        left, n_left = left.where("n_done < n_kids"), n_left - n
+        settled.append(new)
+    done = reduce(DataFrame.unionAll, settled).select("tree_id", "node_id", "truth", F.coalesce(F.col("truth").cast("string"), F.lit("unknown")).alias("verdict"))
+    return done.unionAll(left.select("tree_id", "node_id", F.lit(None).cast("boolean").alias("truth"), F.lit("open").alias("verdict")))

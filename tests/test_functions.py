@@ -74,6 +74,7 @@ def test_text(spark):
     assert one(spark, X.normalize_spaces(F.lit("  a \t b \n  c  d  \n"))) == "a b\nc d"
     assert one(spark, X.drop_page_lines(F.lit("x\n 3 \nPage 2 of 9\n- 4 -\n\n\n\ny 5"))) == "x\n\ny 5"
     assert one(spark, X.natural_key(F.lit("9.10"))) < one(spark, X.natural_key(F.lit("10.2")))
+    assert one(spark, X.natural_key(F.lit("9" * 12))) < one(spark, X.natural_key(F.lit("1" + "0" * 12))) and one(spark, X.natural_key(F.lit("007"))) == one(spark, X.natural_key(F.lit("7")))
     assert X.positive_terms('a -b NOT c "d e" OR f') == ["a", "d e", "f"]
     assert one(spark, X.mark_terms(F.lit("Pay the fee (a)"), ["fee", "(a)"])) == "Pay the <mark>fee</mark> <mark>(a)</mark>"
     assert one(spark, X.occurrences(F.lit("Shall a shall, SHALL"), "shall")) == [0, 8, 15]

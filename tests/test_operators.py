@@ -65,6 +65,10 @@ def test_rule_tree(spark):
         [("t", "r", None, "AND", None), ("t", "o", "r", "OR", None), ("t", "l1", "r", None, True), ("t", "l2", "o", None, None), ("t", "l3", "o", None, True), ("u", "r", None, "AND", None), ("u", "x", "r", None, None)],
         "tree_id string, node_id string, parent_id string, op string, truth boolean")
     got = {(r.tree_id, r.node_id): r.truth for r in rules.evaluate(n).collect()}
+    deep = [("d", f"n{i:03d}", f"n{i - 1:03d}" if i else None, "OR" if i < 60 else None, True if i == 60 else None, i % 2 == 1) for i in range(61)]
+    rows_ = deep + [("y", "a", "b", "AND", None, False), ("y", "b", "a", "AND", None, False), ("z", "r", None, "AND", None, True), ("z", "s", "r", None, None, None)]
+    far = {(r.tree_id, r.node_id): r.verdict for r in rules.evaluate(spark.createDataFrame(rows_, "tree_id string, node_id string, parent_id string, op string, truth boolean, negated boolean")).collect()}
+    assert far[("d", "n060")] == "true" and far[("d", "n059")] == "false" and far[("d", "n000")] == "true" and far[("y", "a")] == far[("y", "b")] == "open" and far[("z", "r")] == "unknown"
     assert got[("t", "r")] is True and got[("t", "o")] is True and got[("u", "r")] is None
     c = lambda op, v, w: spark.range(1).select(rules.compare(F.lit(op), F.lit(v).cast("string"), F.lit(w)).alias("c")).first().c
     assert c("at_least", "10", "9") is True and c("in", "b", "a, b") is True and c("contains", "Alpha", "PH") is True and c("equals", None, "x") is None and c("exists", None, "x") is False
