@@ -503,12 +503,6 @@ def text_references(spark, d):
         F.regexp_count(t, F.lit(kinds)).cast("long").alias("n_references"), F.nullif(F.regexp_extract(t, '"([^"]+)" means', 1), F.lit("")).alias("defined_term"))
 
 
-@query("SELECT document_id, list_distinct(regexp_extract_all(file_text, '[A-Z][a-z]+ (?:Partners|Logistics|Systems|Schools|Care|Health|Transit|Data) (?:LLC|Group|Inc|Corp|Ltd)')).list_sort().array_to_string('; ') AS parties FROM documents WHERE file_text IS NOT NULL")
-def text_parties(spark, d):
-    names = F.regexp_extract_all("file_text", F.lit(r"[A-Z][a-z]+ (?:Partners|Logistics|Systems|Schools|Care|Health|Transit|Data) (?:LLC|Group|Inc|Corp|Ltd)"), F.lit(0))
-    return table(spark, d, "documents").where("file_text IS NOT NULL").select("document_id", F.array_join(F.sort_array(F.array_distinct(names)), "; ").alias("parties"))
-
-
 @query("SELECT a.entity_id, levenshtein(a.name, b.name) AS edit_distance FROM entities a JOIN entities b ON a.parent_entity_id = b.entity_id")
 def text_levenshtein(spark, d):
     e = table(spark, d, "entities")

@@ -26,15 +26,19 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return b.select("path", name.alias("file_name"), ext.alias("extension"), "length", F.col("modificationTime").alias("modified_at"), "content")
 
 
-def checked(files: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """files with upload_error: the first of too_large, empty, bad_type, bad_content that applies, else null."""
+def checked(files: DataFrame, largest: int = LARGEST, mime: str | None = None) -> DataFrame:
+    """files with upload_error: the first of too_large, empty, bad_type, bad_mime, bad_content that applies, else null.
+
+    mime: a column with the declared type, which must hold the extension; null and text files are not judged by it."""
     head = F.hex(F.substring("content", 1, 4))
     good = F.lit(False)
     for ext, magic in MAGIC.items():
         good = good | ((F.col("extension") == ext) & (head.isin(magic) if magic else F.lit(True)))
+    other = ~F.contains(F.col(mime), F.col("extension")) & (F.col("extension") != "txt") if mime else F.lit(False)
     return files.withColumn(
         "upload_error",
-        F.when(F.col("length") > largest, "too_large").when(F.col("length") == 0, "empty").when(~F.col("extension").isin(list(MAGIC)), "bad_type").when(~good, "bad_content"))
+        F.when(F.col("length") > largest, "too_large").when(F.col("length") == 0, "empty").when(~F.col("extension").isin(list(MAGIC)), "bad_type")
+        .when(other, "bad_mime").when(~good, "bad_content"))
 
 
 def docx_text(content: bytes | None) -> str | None:

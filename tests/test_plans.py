@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from clauselake.plans import core_queries, problem_queries, problem_sql
+from clauselake.plans import core_queries, library_queries, problem_queries, problem_sql
 from verify import norm
 
 SF = "/root/testdata/sf0.001"
-CASES = {**problem_queries.QUERIES, **core_queries.QUERIES}
-STATEMENTS = {**problem_sql.SQL, **core_queries.SQL}
+CASES = {**problem_queries.QUERIES, **core_queries.QUERIES, **library_queries.QUERIES}
+STATEMENTS = {**problem_sql.SQL, **core_queries.SQL, **library_queries.SQL}
 
 
 @pytest.fixture(scope="module")
