@@ -15,15 +15,24 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.text import ROMAN, drop_page_lines, normalize_spaces, numbering_scheme
 
-# What a heading of each scheme looks like at the start of a line.
+# Number kinds of headings, and what they stand between; a scheme is a kind, its marks and what follows.
+_KINDS = {"n": r"\d+", "n.n": r"\d+\.\d+", "n.0": r"\d+\.0", "n.n.n": r"\d+\.\d+\.\d+", "A": "[A-Z]", "a": "[a-z]", "I": ROMAN, "i": ROMAN.lower()}
+_WORD = r"(?:Article|ARTICLE)\s+"
+
+
+def _form(kind: str, before: str = "", after: str = "", then: str = r"\s", word: str = "") -> str:
+    return rf"{word}{before}(?:{_KINDS[kind]}){after}{then}"
+
+
+_CAPITAL, _DOT, _LAST_DOT = r"\s+[A-Z]", r"\.", r"\.(?!\d)"
 HEADING = {
-    "numeric": r"\d+\.(?!\d)\s+[A-Z]", "numeric-title": r"\d+\.(?!\d)\s+[A-Z]", "numeric-bare": r"\d+\s+[A-Z]", "numeric-paren": r"\d+\)\s+[A-Z]",
-    "paren-numeric": r"\(\d+\)\s", "decimal": r"\d+\.\d+\s+[A-Z]", "decimal-zero": r"\d+\.0\s+[A-Z]", "decimal-period": r"\d+\.\d+\.\s", "decimal-triple": r"\d+\.\d+\.\d+\s",
-    "decimal-triple-period": r"\d+\.\d+\.\d+\.\s", "alpha-upper": r"[A-Z]\.\s+[A-Z]", "alpha-lower": r"[a-z]\.\s+[A-Z]", "alpha-lower-paren": r"[a-z]\)\s", "paren-alpha": r"\([a-z]\)\s",
-    "roman-upper": rf"(?:{ROMAN})\.\s+[A-Z]", "roman-lower": rf"(?:{ROMAN.lower()})\.\s", "roman-upper-paren": rf"(?:{ROMAN})\)\s", "roman-lower-paren": rf"(?:{ROMAN.lower()})\)\s",
-    "paren-roman-upper": rf"\((?:{ROMAN})\)\s", "paren-roman-lower": rf"\((?:{ROMAN.lower()})\)\s", "section": r"(?i:Section)\s+\d+\.", "section-decimal": r"(?i:Section)\s+\d+\.(?!\d)",
-    "section-bare": r"(?:Section|Article|ARTICLE)\s+(?:[IVX]+|\d+)(?!\.)", "article": r"(?:Article|ARTICLE)\s+(?:[IVX]+|\d+)", "article-roman": r"(?:Article|ARTICLE)\s+[IVX]+",
-}
+    "numeric": _form("n", after=_LAST_DOT, then=_CAPITAL), "numeric-title": _form("n", after=_LAST_DOT, then=_CAPITAL), "numeric-bare": _form("n", then=_CAPITAL),
+    "section": _form("n", after=_DOT, then="", word=r"(?i:Section)\s+"), "section-decimal": _form("n", after=_LAST_DOT, then="", word=r"(?i:Section)\s+"),
+    "section-bare": rf"(?:Section|Article|ARTICLE)\s+(?:{ROMAN}|\d+)(?!\.)", "article": rf"{_WORD}(?:{ROMAN}|\d+)", "article-roman": _form("I", then="", word=_WORD),
+    "decimal": _form("n.n", then=_CAPITAL), "decimal-zero": _form("n.0", then=_CAPITAL), "decimal-period": _form("n.n", after=_DOT), "decimal-triple": _form("n.n.n"), "decimal-triple-period": _form("n.n.n", after=_DOT),
+    "alpha-upper": _form("A", after=_DOT, then=_CAPITAL), "alpha-lower": _form("a", after=_DOT, then=_CAPITAL), "roman-upper": _form("I", after=_DOT, then=_CAPITAL), "roman-lower": _form("i", after=_DOT),
+} | {f"{name}-paren": _form(k, after=r"\)", then=then) for name, k, then in (("numeric", "n", _CAPITAL), ("alpha-lower", "a", r"\s"), ("roman-upper", "I", r"\s"), ("roman-lower", "i", r"\s"))} | {
+    f"paren-{name}": _form(k, r"\(", r"\)") for name, k in (("numeric", "n"), ("alpha", "a"), ("roman-upper", "I"), ("roman-lower", "i"))}
 
 
 def repair_headings(c: Column) -> Column:
@@ -34,29 +43,16 @@ def repair_headings(c: Column) -> Column:
 
 
 def split_heading(block: Column) -> Column:
-    """struct(clause_no, body): number with a title of up to 100 characters on its line or up to a full stop, else the number alone, else ''."""
+    """array of clause number and body: number with a title of up to 100 characters on its line or up to a full stop, else the number alone, else a line of capitals, else '' and the block. One pass over the block."""
     number = rf"(?:\d+(?:\.\d+)*\.?|(?:{ROMAN})\.|[A-Z]\.|(?i:Section|Article|Clause)\s+(?:\d+|[IVX]+)\.?)"
-    titled = rf"(?s)^({number}[ \t]*[^\n.]{{1,100}}?)(?:\.\s+|\.?\n\s*)(\S.*)$"
-    bare = rf"(?s)^({number})\s*(\S.*)$"
-    caps = r"(?s)^([A-Z][A-Z ]{3,50})(?:\.\s*|\n\s*)(\S.*)$"
-    pick = lambda g: F.when(block.rlike(titled), F.regexp_extract(block, titled, g)).when(block.rlike(bare), F.regexp_extract(block, bare, g)).when(block.rlike(caps), F.regexp_extract(block, caps, g))
-    return F.struct(F.coalesce(F.trim(pick(1)), F.lit("")).alias("clause_no"), F.coalesce(pick(2), block).alias("body"))
+    ways = rf"({number}[ \t]*[^\n.]{{1,100}}?)(?:\.\s+|\.?\n\s*)(?=\S)|({number})\s*(?=\S)|([A-Z][A-Z ]{{3,50}})(?:\.\s*|\n\s*)(?=\S)|"
+    return F.split(F.regexp_replace(block, rf"(?s)\A(?:{ways})(.*)\z", "$1$2$3\x01$4"), "\x01", 2)
 
 
 def _starts(x: Column, heading: Column) -> Column:
     return F.regexp_like(x, F.concat(F.lit("^(?:"), heading, F.lit(")")))
 
 
-def _merged(parts: Column, opens: Column) -> Column:
-    """Parts without a heading joined to the one before; opens says for each part whether it has one."""
-    pairs = F.arrays_zip(parts.alias("t"), opens.alias("o"))
-    return F.aggregate(
-        pairs, F.array().cast("array<string>"),
-        lambda acc, p: F.when(p["o"] | (F.size(acc) == 0), F.concat(acc, F.array(p["t"]))).otherwise(
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), F.lit("\n\n"), p["t"])))),
-    )
-
-
 def sections(df: DataFrame, key_col: str, text_col: str, scheme: str = "auto", combined: bool = True) -> DataFrame:
     """(key, seq, scheme, clause_no, clause_text, char_start, char_end)."""
     d = df.where(F.col(text_col).isNotNull()).select(F.col(key_col), F.col(text_col).alias("__t")).withColumn("__clean", drop_page_lines(repair_headings(F.col("__t"))))
@@ -67,13 +63,18 @@ def sections(df: DataFrame, key_col: str, text_col: str, scheme: str = "auto", c
     preamble = (F.size("__p") > 1) & ~F.get("__o", F.lit(0))
     d = d.withColumn("__from", F.when(preamble, 2).otherwise(1))
     d = d.withColumn("__p", F.slice("__p", F.col("__from"), F.size("__p"))).withColumn("__o", F.slice("__o", F.col("__from"), F.size("__o")))
-    d = d.withColumn("__b", _merged(F.col("__p"), F.col("__o")) if combined else F.col("__p"))
+    if combined:  # parts without a heading belong to the one before: from each that opens a section to the next
+        d = d.withColumn("__i", F.filter(F.sequence(F.lit(1), F.greatest(F.size("__p"), F.lit(1))), lambda i: (i == 1) | F.get("__o", i - 1)))
+        d = d.withColumn("__b", F.transform("__i", lambda i, j: F.array_join(F.slice("__p", i, F.coalesce(F.get("__i", j + 1), F.size("__p") + 1) - i), "\n\n")))
+    else:
+        d = d.withColumn("__b", F.col("__p"))
     d = d.withColumn("__b", F.when(F.size("__b") >= 2, F.col("__b")).otherwise(F.filter(F.split("__clean", r"\n\s*\n"), lambda x: F.length(F.trim(x)) >= 10)))
     kept = F.filter(F.array_distinct("__b"), lambda x: F.length(x) >= 30)
     e = d.select(key_col, "scheme", "__t", F.posexplode(kept).alias("p", "block")).withColumn("h", split_heading(F.col("block")))
-    at = F.expr("position(substring(h.body, 1, 40), __t)")
-    text = normalize_spaces(F.col("h.body"))
+    e = e.select(key_col, "scheme", "__t", "p", F.trim(F.get("h", F.lit(0))).alias("clause_no"), F.get("h", F.lit(1)).alias("body"))
+    e = e.withColumn("at", F.expr("position(substring(body, 1, 40), __t)")).withColumn("clause_text", normalize_spaces(F.col("body")))
+    at = F.col("at")
     return e.select(
-        key_col, (F.col("p") + 1).alias("seq"), "scheme", "h.clause_no", text.alias("clause_text"),
-        F.when(at > 0, at - 1).alias("char_start"), F.when(at > 0, at - 1 + F.length(text)).alias("char_end"),
+        key_col, (F.col("p") + 1).alias("seq"), "scheme", "clause_no", "clause_text",
+        F.when(at > 0, at - 1).alias("char_start"), F.when(at > 0, at - 1 + F.length("clause_text")).alias("char_end"),
     )

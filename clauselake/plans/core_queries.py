@@ -479,7 +479,7 @@ def text_neutralize(spark, d):
     return docs.unionAll(e).select("doc_id", X.neutralize(F.col("text")).alias("clean_text"))
 
 
-_VOTE_SQL = {"roman-upper": f"\\n\\s*(?:{X.ROMAN})\\.\\s+[A-Z][A-Z\\s]", "section": "(?i)\\n\\s*Section\\s+\\d+\\.", "article": "(?i)\\n\\s*Article\\s+\\d+", "article-roman": "\\n\\s*ARTICLE\\s+[IVX]+", "decimal-triple-period": "\\n\\s*\\d+\\.\\d+\\.\\d+\\.\\s+", "decimal-period": "\\n\\s*\\d+\\.\\d+\\.\\s+", "numeric": "\\n\\s*\\d+\\.\\s+[A-Z][A-Z\\s]{3,}", "numeric-title": "\\n\\s*\\d+\\.\\s+[A-Z][a-z]", "numeric-bare": "\\n\\s*\\d+\\s+[A-Z]{2}[A-Z\\s]{1,}"}
+_VOTE_SQL = {"roman-upper": "\\n\\s*[IVX]+\\.\\s+[A-Z][A-Z\\s]", "section": "(?i)\\n\\s*Section\\s+\\d+\\.", "article": "(?i)\\n\\s*Article\\s+\\d+", "article-roman": "\\n\\s*ARTICLE\\s+[IVX]+", "decimal-triple-period": "\\n\\s*\\d+\\.\\d+\\.\\d+\\.\\s+", "decimal-period": "\\n\\s*\\d+\\.\\d+\\.\\s+", "numeric": "\\n\\s*\\d+\\.\\s+[A-Z][A-Z\\s]{3,}", "numeric-title": "\\n\\s*\\d+\\.\\s+[A-Z][a-z]", "numeric-bare": "\\n\\s*\\d+\\s+[A-Z]{2}[A-Z\\s]{1,}"}
 _VOTES = ", ".join(f"{{'n': len(regexp_extract_all(text, '{p}')), 'r': {-i}, 'k': '{k}'}}" for i, (k, p) in enumerate(_VOTE_SQL.items()))
 
 

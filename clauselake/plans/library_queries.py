@@ -14,8 +14,10 @@ from clauselake.functions import text as X
 from clauselake.functions.keys import key
 from clauselake.operators import dml, relational, rules
 from clauselake.plans.core_queries import _LC, _UNITS, _UPLOADS, _latest_clauses, _latest_units, _latest_uploads
-from clauselake.session import broadcast_if_small, table
+from clauselake.session import broadcast_if_small, scratch_folder, table
 from clauselake.sources import files
+from clauselake.sources.cache import ReadCache
+from clauselake.streaming import jobs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -581,3 +583,50 @@ def model_failover(spark, d):
     """Answers of the first provider that is not busy (stand-ins here)."""
     a = providers.answered(F.col("title"), [_busy, _spare])
     return table(spark, d, "documents").select("doc_id", a.alias("a")).select("doc_id", "a.answer", "a.provider")
+
+
+# --- queues and streams ---
+
+
+@query(f"""SELECT upload_id, CASE WHEN t = '' THEN 'failed' ELSE 'done' END AS extraction_status, CASE WHEN t = '' THEN 'empty' END AS error, length(t) % 1000 AS checksum, retry_count + CASE WHEN t = '' THEN 1 ELSE 0 END AS retry_count FROM (SELECT upload_id, coalesce(file_text, '') AS t, retry_count FROM {_UPLOADS})""")
+def stream_drained(spark, d):
+    """Uploads put into a queue in two batches, drained as a stream until it is empty; a failing job is its own failure and is counted for its next try."""
+    home = scratch_folder(spark, "queue")
+    u = _latest_uploads(spark, d).select("upload_id", "file_text", "retry_count")
+    for n in range(2):
+        u.where(F.pmod(F.xxhash64("upload_id"), F.lit(2)) == n).write.mode("append").parquet(f"{home}/in")
+
+    def work(text):
+        if not text:
+            raise ValueError("empty")
+        return str(len(text) % 1000)
+
+    jobs.drain(jobs.queue(spark, f"{home}/in", u.schema), lambda df: jobs.isolated(df, work, "file_text").drop("file_text"), f"{home}/out", f"{home}/state").awaitTermination()
+    done = spark.read.parquet(f"{home}/out").withColumn("retry_count", F.col("retry_count").cast("int"))
+    again = jobs.failed_again(done).withColumn("extraction_status", F.lit("failed"))
+    return done.where("extraction_status = 'done'").unionByName(again).select("upload_id", "extraction_status", "error", F.coalesce(F.col("result").cast("long"), F.lit(0)).alias("checksum"), "retry_count")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS n_events FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    """The event table read as a stream: windowed counts, each micro-batch replacing the result."""
+    home = scratch_folder(spark, "windows")
+    schema = table(spark, d, "events").schema
+    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counts = jobs.event_counts(ev.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "6 hours")
+
+    def keep(df, n):
+        df.write.mode("overwrite").parquet(f"{home}/out")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events")
+
+
+@query("SELECT entity_id, name FROM entities")
+def scan_cached(spark, d):
+    """A table through the read cache: the second reader gets the first one's load."""
+    cache = ReadCache()
+    first = cache.get("entities", lambda: table(spark, d, "entities").select("entity_id", "name"))
+    again = cache.get("entities", lambda: table(spark, d, "entities").limit(0))
+    cache.drop("entities")
+    return first.join(again.select("entity_id"), "entity_id", "left_semi")

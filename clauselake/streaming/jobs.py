@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,6 +36,23 @@ def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, c
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
+def isolated(df: DataFrame, work: Callable[[str | None], str], column: str) -> DataFrame:
+    """df with result, error and extraction_status: ``work`` runs on each value of a column, and a failure is that row's own."""
+
+    @F.pandas_udf("result string, error string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in s:
+            try:
+                out.append((work(v), None))
+            except Exception as e:
+                out.append((None, str(e) or type(e).__name__))
+        return pd.DataFrame(out, columns=["result", "error"])
+
+    done = df.withColumn("__r", run(column)).withColumn("result", F.col("__r.result")).withColumn("error", F.col("__r.error")).drop("__r")
+    return done.withColumn("extraction_status", F.when(F.col("error").isNull(), "done").otherwise("failed"))
+
+
 def failed_again(results: DataFrame) -> DataFrame:
     """Failed jobs, to be queued once more, with retry_count raised."""
     return results.where("extraction_status = 'failed'").withColumn("extraction_status", F.lit("queued")).withColumn("retry_count", F.coalesce("retry_count", F.lit(0)) + 1)

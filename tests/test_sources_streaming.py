@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from clauselake.sources import files, tables
+from clauselake.sources.cache import ReadCache
 from clauselake.streaming import jobs
 
 
@@ -67,3 +68,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("win").collect()} == want and len(want) == 16
     assert jobs.sessions(ev, "ts", ["kind"], "30 minutes").count() == 2 and jobs.once(ev.unionAll(ev), ["event_id"], "ts").count() == 48
     assert {tuple(r)[:2] for r in jobs.active_states(ev, ["kind"], F.col("value") > 46, "ts").collect()} == {("a", "resolved"), ("b", "active")}
+
+
+def test_read_cache(spark):
+    now, loads = [0.0], []
+
+    def load():
+        loads.append(1)
+        return spark.range(len(loads))
+
+    cache = ReadCache(15, clock=lambda: now[0])
+    assert [cache.get("a", load).count(), cache.get("a", load).count()] == [1, 1]
+    now[0] = 15.0
+    assert cache.get("a", load).count() == 2 and len(loads) == 2
+    cache.drop("a")
+    assert cache.get("a", load).count() == 3
+
+
+def test_isolated_failures(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", None)], "id string, v string")
+    got = {r.id: (r.result, r.extraction_status) for r in jobs.isolated(df, lambda v: str(int(v) + 1), "v").collect()}
+    assert got == {"a": ("2", "done"), "b": (None, "failed"), "c": (None, "failed")}
