@@ -371,6 +371,7 @@ def texts_of(df: DataFrame, tab_name: str, key_col: str, text_col: str) -> DataF
 
 def repair_scans(texts: DataFrame, max_words: int = 300_000) -> DataFrame:
     """texts: (tab_name, row_key, text). Returns (tab_name, row_key, issues, text), the text repaired."""
+    texts = written(texts, "texts")  # read three times: folded once
     words = word_table(texts)
     found = written(meanings(words), "meanings")
     pairs, n_pairs = pair_table(texts, found)
