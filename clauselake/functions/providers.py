@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clauselake.operators.align import json_repaired
+
 
 class Busy(Exception):
     """A provider that cannot answer now (rate, size or availability): the next one is asked."""
@@ -36,6 +38,11 @@ def answered(prompt: Column, providers: Sequence[Callable[[str], str]], batch: i
     return ask(prompt)
 
 
+def structured(prompt: Column, providers: Sequence[Callable[[str], str]], schema: str) -> Column:
+    """Answers that should be JSON, read by a schema after repair (fences, stray quotes, missing ends); null where nothing can be read."""
+    return F.from_json(json_repaired(answered(prompt, providers)["answer"]), schema)
+
+
 def _one(prompt: str, providers: Sequence[Callable[[str], str]]) -> tuple:
     error = "no provider"
     for i, call in enumerate(providers):

@@ -39,6 +39,13 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return seq.join(before.alias("b"), same, "left").select(*[F.col(f"p.{c}") for c in df.columns if c != name], (F.col("__s") + F.coalesce("__b", F.lit(0))).cast("int").alias(name))
 
 
+def chunked(df: DataFrame, key: str, order: Sequence[Column], size: int, fields: Sequence[str]) -> DataFrame:
+    """(key, chunk, rows): the rows of a key in arrays of at most ``size``, in order, as batches for calls outside."""
+    n = numbered(df.select(key, *[f for f in fields if f != key]), [key], order, "__i")
+    g = n.groupBy(key, F.floor((F.col("__i") - 1) / size).cast("int").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("__i", *fields))).alias("rows"))
+    return g.withColumn("rows", F.transform("rows", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+
+
 def next_ids(df: DataFrame, existing: DataFrame, id_col: str, prefix: str, order: Sequence[Column], width: int = 3) -> DataFrame:
     """df with ids after the highest number of ``existing``. Numbers come from per-partition counts: no single-task window over df."""
     top = existing.select(F.max(F.regexp_extract(id_col, rf"^{prefix}(\d+)$", 1).try_cast("long")).alias("top")).select(F.coalesce("top", F.lit(0)).alias("top"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -585,6 +586,40 @@ def model_failover(spark, d):
     return table(spark, d, "documents").select("doc_id", a.alias("a")).select("doc_id", "a.answer", "a.provider")
 
 
+def _fenced(prompt: str) -> str:
+    """A stand-in that answers as models do: in a fence, with a quote inside a value and without the end."""
+    kind, _, rest = prompt.partition(" - ")
+    return f'```json\n{{"kind": "the "{kind}" one", "words": [{", ".join(str(len(w)) for w in rest.split())}'
+
+
+@query("""SELECT doc_id, 'the "' || split_part(title, ' - ', 1) || '" one' AS kind, list_sum(list_transform(list_filter(string_split(substring(title, instr(title, ' - ') + 3), ' '), lambda w: w <> ''), lambda w: length(w)))::BIGINT AS letters FROM documents""")
+def model_structured(spark, d):
+    """Structured answers: read by a schema after repair."""
+    a = providers.structured(F.col("title"), [_fenced], "kind string, words array<int>")
+    return table(spark, d, "documents").select("doc_id", a.alias("a")).select("doc_id", "a.kind", F.aggregate("a.words", F.lit(0).cast("long"), lambda x, y: x + y).alias("letters"))
+
+
+@query(f"SELECT document_id, ((n - 1) // 3)::INTEGER AS chunk, string_agg(clause_id, ',' ORDER BY n) AS ids FROM (SELECT document_id, clause_id, row_number() OVER (PARTITION BY document_id ORDER BY clause_id) AS n FROM {_LC} WHERE document_id IS NOT NULL) GROUP BY 1, 2")
+def model_batches(spark, d):
+    """Clauses of a document in batches of three, as they are sent to a model."""
+    b = relational.chunked(_latest_clauses(spark, d).where("document_id IS NOT NULL"), "document_id", [F.asc("clause_id")], 3, ["clause_id"])
+    return b.select("document_id", "chunk", F.array_join(F.transform("rows", lambda x: x["clause_id"]), ",").alias("ids"))
+
+
+@query("SELECT entity_id || '.' || ext AS file_name, 'Agreement of ' || name || chr(10) || 'It ends (soon).' AS file_text FROM entities, (VALUES ('txt'), ('docx'), ('pdf')) t(ext)")
+def scan_extracted(spark, d):
+    """Text of plain, word-processor and PDF files (made here from names, the PDF streams deflated)."""
+    e = table(spark, d, "entities").select("entity_id", F.concat(F.lit("Agreement of "), "name", F.lit("\nIt ends (soon).")).alias("t"))
+
+    @F.pandas_udf("binary")
+    def packed(ext: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([files.packed(x, t) for x, t in zip(ext, text)])
+
+    f = e.select("entity_id", "t", F.explode(F.array(*[F.lit(x) for x in ("txt", "docx", "pdf")])).alias("extension"))
+    f = f.select(F.concat_ws(".", "entity_id", "extension").alias("file_name"), "extension", packed("extension", "t").alias("content"))
+    return files.extracted(f).select("file_name", "file_text")
+
+
 # --- queues and streams ---
 
 

@@ -52,6 +52,14 @@ walk AS (
   FROM walk w JOIN rest r ON w.cur = r.k WHERE NOT w.done),
 ends AS (SELECT k, list_position(seen, cur) - 1 AS steps, list_min(seen[list_position(seen, cur):]) AS low FROM walk WHERE done)"""
 
+_ROUND = f"""{_TREE},
+rest AS (SELECT * FROM nodes WHERE k NOT IN (SELECT k FROM tree)),
+walk AS (
+  SELECT k, k AS cur, [k] AS seen, [node_id] AS names, false AS done FROM rest
+  UNION ALL SELECT w.k, r.p, CASE WHEN list_contains(w.seen, r.p) THEN w.seen ELSE list_append(w.seen, r.p) END, CASE WHEN list_contains(w.seen, r.p) THEN w.names ELSE list_append(w.names, n.node_id) END, list_contains(w.seen, r.p)
+  FROM walk w JOIN rest r ON w.cur = r.k JOIN rest n ON r.p = n.k WHERE NOT w.done),
+ends AS (SELECT names, list_position(seen, cur) - 1 AS steps FROM walk WHERE done)"""
+
 SQL = {
     "p1_found": f"SELECT tab_name, row_key, ref_state, strftime(created_at, '%Y-%m') AS ref_month FROM ({_P1}) WHERE ref_state IN ('missing', 'deleted', 'late')",
     "p1_states": f"SELECT tab_name, row_key, ref_state FROM ({_P1})",
@@ -73,4 +81,6 @@ UNION ALL SELECT n.node_id, m.node_id, e.steps::INTEGER, CASE WHEN e.steps = 0 T
 up AS (SELECT k, node_id, p AS cur, 1 AS distance FROM nodes WHERE k IN (SELECT k FROM tree) AND p IS NOT NULL
   UNION ALL SELECT u.k, u.node_id, n.p, u.distance + 1 FROM up u JOIN nodes n ON u.cur = n.k WHERE n.p IS NOT NULL)
 SELECT n.node_id AS ancestor_id, u.node_id AS descendant_id, u.distance FROM up u JOIN nodes n ON u.cur = n.k""",
+    "p4_cycle_paths": f"""{_ROUND} SELECT names[1] AS clause_unit_id, array_to_string(list_reverse(names[1:steps + 1]), ' > ') AS unit_path, CASE WHEN steps = 0 THEN 'cycle' ELSE 'below_cycle' END AS node_state FROM ends""",
+    "p4_cycle_descendants": f"""{_ROUND} SELECT names[i] AS ancestor_id, names[1] AS descendant_id, (i - 1)::INTEGER AS distance FROM (SELECT names, unnest(range(2, len(names) + 1)) AS i FROM ends WHERE steps > 0)""",
 }

@@ -18,6 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own_roots: dict[str, str] = {}
+_folders: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,9 +40,18 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    _folders.append(path)
     return path
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Remove all scratch tables written so far: for long sessions, once the results made from them are stored."""
+    jvm = spark.sparkContext._jvm
+    while _folders:
+        p = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """Write df to the shared scratch folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -62,16 +64,71 @@ def docx_text(content: bytes | None) -> str | None:
     return "\n".join(lines)
 
 
+_STREAM = re.compile(rb"<<(?P<head>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(?P<body>.*?)\r?\nendstream", re.S)
+_SHOW = re.compile(rb"\((?P<text>(?:\\.|[^()\\])*)\)|<(?P<hex>[0-9A-Fa-f\s]+)>|(?P<gap>-?\d+(?:\.\d+)?)(?=[\s\(<\]])|(?P<op>Tj|TJ|T\*|Td|TD|Tm|'|\"|ET)", re.S)
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _plain(raw: bytes) -> str:
+    out = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPED.get(m[1], b"" if m[1][-1:] == b"\n" else m[1]), raw, flags=re.S)
+    return out[2:].decode("utf-16-be", "replace") if out[:2] == b"\xfe\xff" else out.decode("cp1252", "replace")
+
+
+def page_text(content: bytes) -> str:
+    """Text shown by one page's drawing operators: strings in order, a line for each move to a new one. Fonts of their own encodings are not decoded."""
+    lines, line = [], []
+    for block in re.findall(rb"\bBT\b(.*?\bET)\b", content, re.S):
+        for m in _SHOW.finditer(block):
+            if m["text"] is not None:
+                line.append(_plain(m["text"]))
+            elif m["hex"] is not None:
+                line.append(_plain(bytes.fromhex(re.sub(rb"\s", b"", m["hex"]).decode() + "0" * (len(re.sub(rb"\s", b"", m["hex"])) % 2))))
+            elif m["gap"] is not None:
+                if float(m["gap"]) < -200 and line and not line[-1].endswith(" "):  # a wide gap inside one string array is a blank
+                    line.append(" ")
+            elif m["op"] in (b"T*", b"Td", b"TD", b"Tm", b"'", b'"', b"ET") and line:
+                new, line = ("".join(line), []) if m["op"] not in (b"'", b'"') else ("".join(line[:-1]), line[-1:])
+                if new:
+                    lines.append(new)
+    return "\n".join(lines + (["".join(line)] if line else []))
+
+
 def pdf_text(content: bytes | None) -> str | None:
-    """Text of the pages if a PDF library is there, else None."""
+    """Text of the pages in the file's order, by a PDF library where one is installed, else from plain and deflated content streams; None if there is none."""
     try:
         from pypdf import PdfReader
-    except ImportError:
-        return None
-    try:
+
         return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content or b"")).pages)
+    except ImportError:
+        pass
     except Exception:
         return None
+    pages = []
+    for m in _STREAM.finditer(content or b""):
+        body = m["body"]
+        if b"FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" in body and (text := page_text(body)):
+            pages.append(text)
+    return "\n".join(pages) or None
+
+
+def packed(extension: str, text: str) -> bytes:
+    """A minimal file of a kind that holds the lines of a text: txt, docx or pdf (one page, deflated)."""
+    if extension == "docx":
+        out = io.BytesIO()
+        lines = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n"))
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{_W[1:-1]}"><w:body>{lines}</w:body></w:document>')
+        return out.getvalue()
+    if extension == "pdf":
+        show = b" T* ".join(b"(" + re.sub(rb"([()\\])", rb"\\\1", x.encode("cp1252", "replace")) + b") Tj" for x in text.split("\n"))
+        body = zlib.compress(b"BT /F1 11 Tf 72 720 Td " + show + b" ET")
+        return b"%PDF-1.7\n1 0 obj\n<< /Length " + str(len(body)).encode() + b" /Filter /FlateDecode >>\nstream\n" + body + b"\nendstream\nendobj\n%%EOF"
+    return text.encode("utf-8")
 
 
 def extracted(files: DataFrame, min_chars: int = 100, ocr=None) -> DataFrame:

@@ -89,3 +89,10 @@ def test_isolated_failures(spark):
     df = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", None)], "id string, v string")
     got = {r.id: (r.result, r.extraction_status) for r in jobs.isolated(df, lambda v: str(int(v) + 1), "v").collect()}
     assert got == {"a": ("2", "done"), "b": (None, "failed"), "c": (None, "failed")}
+
+
+def test_pdf_text():
+    page = b"BT (A \\(b\\) \\351) Tj 0 -12 Td [(ag) -20 (ree) -300 (now)] TJ T* <48 69> Tj (x) ' ET"
+    raw = b"%PDF-1.4\n<< /Length 9 >>\nstream\n" + page + b"\nendstream\n<< /Length 2 /Filter /FlateDecode >>\nstream\nbroken\nendstream"
+    assert files.pdf_text(raw) == "A (b) \u00e9\nagree now\nHi\nx" and files.pdf_text(b"no") is None and files.pdf_text(None) is None
+    assert files.pdf_text(files.packed("pdf", "one (1)\ntwo \\\\ 2")) == "one (1)\ntwo \\\\ 2" and files.docx_text(files.packed("docx", "a & b\nc")) == "a & b\nc"
