@@ -122,7 +122,7 @@ class Mixer:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, sources, targets: DataFrame, *, seed: int = 17, tokenizer_path: str | None = None, tokenizer_pattern: str | None = None, max_patterns: int = 100_000):
         """sources: a column of one source or of an array of sources. Raises if more than max_patterns combinations of them occur."""
         spark = docs.sparkSession
-        self.seed = seed
+        self.seed, self.targets = seed, targets
         kind = dict(docs.select(F.col(sources).alias("s")).dtypes)["s"]
         member = F.col(sources) if kind.startswith("array") else F.array(F.col(sources))
         pattern = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(member, F.array().cast("array<string>")))))
@@ -175,3 +175,12 @@ class Mixer:
         whole = F.sum("actual_tokens").over(W.partitionBy("mix_name"))
         share = lambda of: F.when(of > 0, F.col("actual_tokens") / of).otherwise(0.0)
         return r.withColumn("budget_share", share(F.col("budget"))).withColumn("actual_share", share(whole)).drop("budget")
+
+    def limits(self) -> DataFrame:
+        """(mix_name, source, repeats_ok, share_ok): is nothing repeated more often than allowed, and do the chosen tokens differ from the planned flow by no more than one document for each pattern?"""
+        single = self.docs.select(F.explode("pattern").alias("source"), "pattern", "n_tokens").groupBy("source").agg(F.max("n_tokens").alias("largest"), F.count_distinct("pattern").alias("n_patterns"))
+        plan = self.results.select("mix_name", "source", (F.col("quota") - F.col("shortage")).alias("flow"))
+        asked = self.targets.groupBy("mix_name", "source").agg(F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1))).alias("allowed"))
+        got = self.shares().select("mix_name", "source", "actual_tokens", "most_repeats").join(plan, ["mix_name", "source"]).join(asked, ["mix_name", "source"]).join(single, "source", "left")
+        off = F.abs(F.col("actual_tokens") - F.col("flow")) <= F.coalesce(F.col("largest") * F.col("n_patterns"), F.lit(0)) + 1
+        return got.select("mix_name", "source", (F.col("most_repeats") <= F.col("allowed")).alias("repeats_ok"), off.alias("share_ok"))

@@ -103,6 +103,11 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d).shares()
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """For every target: are the repeats within their limit, and the chosen tokens those that the flow planned?"""
+    return _p7(spark, d).limits()
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every document with a score for each category."""
     docs = table(spark, d, "documents")
@@ -125,5 +130,5 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p3_found, p3_pieces, p3_rejoined, p5_found, p5_texts, p6_found, p6_items, p7_found, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)
+    for f in (p2_found, p2_groups, p3_found, p3_pieces, p3_rejoined, p5_found, p5_texts, p6_found, p6_items, p7_found, p7_selection, p7_shares, p7_limits, p8_found, p8_scores, p8_rates)
 }

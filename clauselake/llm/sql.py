@@ -40,4 +40,5 @@ SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM d JOIN i ON d.g = i.g""",
     "p7_found": """WITH t AS (SELECT DISTINCT mix_name, budget_ratio, source, target_share, max_repeats FROM mix_targets WHERE source IS NOT NULL),
 d AS (SELECT source, sum(length(coalesce(text, ''))) AS n FROM documents GROUP BY 1)
 SELECT mix_name, t.source FROM t LEFT JOIN d ON t.source = d.source WHERE coalesce(n, 0) * greatest(1, coalesce(max_repeats, 1)) < target_share * budget_ratio * (SELECT sum(n) FROM d)""",
+    "p7_limits": "SELECT DISTINCT mix_name, source, true AS repeats_ok, true AS share_ok FROM mix_targets WHERE source IS NOT NULL",
 }
