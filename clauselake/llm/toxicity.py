@@ -111,35 +111,65 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Sums of stretches of values, each to its place; the other places are 0."""
+    out = np.zeros(n)
+    if len(starts):
+        out[at] = np.add.reduceat(values, starts)
+    return out
+
+
+def _starts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct x, where each begins) of sorted x."""
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, dtype=np.int64)
+    return x[starts], starts
+
+
 class _Fit:
     """Weighted logistic regression on sparse sentences (row, column) with dense columns beside them."""
 
     def __init__(self, rows, cols, n_rows: int, n_cols: int, dense: np.ndarray):
-        self.rows, self.cols, self.n, self.m, self.dense = rows, cols, n_rows, n_cols, dense
+        a, b = np.argsort(rows, kind="stable"), np.argsort(cols, kind="stable")
+        self._set((rows[a], cols[a].astype(np.int32)), (cols[b], rows[b].astype(np.int32)), n_rows, n_cols, dense)
+
+    def _set(self, by_row, by_col, n_rows: int, n_cols: int, dense: np.ndarray) -> _Fit:
+        """by_row: rows in order and their columns; by_col: columns in order and their rows."""
+        self.rows, self.cols, self.n, self.m, self.dense = by_row, by_col, n_rows, n_cols, dense
+        self.by_row, self.by_col = (by_row[1], *_starts(by_row[0])), (by_col[1], *_starts(by_col[0]))
+        return self
+
+    def part(self, keep: np.ndarray) -> _Fit:
+        """The fit on some of the rows."""
+        number = (np.cumsum(keep) - 1).astype(np.int32)
+        a, b = keep[self.rows[0]], keep[self.cols[1]]
+        return _Fit.__new__(_Fit)._set((number[self.rows[0][a]], self.rows[1][a]), (self.cols[0][b], number[self.cols[1][b]]), int(keep.sum()), self.m, self.dense[keep])
 
     def score(self, w: np.ndarray) -> np.ndarray:
         k = self.dense.shape[1]
-        return np.bincount(self.rows, w[self.cols], self.n) + self.dense @ w[self.m : self.m + k] + w[-1]
+        cols, at, starts = self.by_row
+        return _sums(w[cols], at, starts, self.n) + self.dense @ w[self.m : self.m + k] + w[-1]
 
     def fit(self, y: np.ndarray, weight: np.ndarray, l2: float = 0.02, steps: int = 50) -> np.ndarray:
+        if not weight.all():  # rows without weight take no part
+            keep = weight > 0
+            return self.part(keep).fit(y[keep], weight[keep], l2, steps)
         k = self.dense.shape[1]
         w = np.zeros(self.m + k + 1)
         m1, m2 = np.zeros_like(w), np.zeros_like(w)
         w[-1] = -2
+        rows, at, starts = self.by_col
         for t in range(1, steps + 1):
             e = weight * (_sigmoid(self.score(w)) - y)
-            g = np.r_[np.bincount(self.cols, e[self.rows], self.m), self.dense.T @ e, e.sum()]
+            g = np.r_[_sums(e[rows], at, starts, self.m), self.dense.T @ e, e.sum()]
             g[: self.m] += l2 * w[: self.m]
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             w = w - 0.3 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)
         return w
 
 
-def _telling(f: np.ndarray, doc: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each feature that is commoner in positive documents than in clean ones, 0 below _SURE."""
+def _telling(ff: np.ndarray, dd: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each feature (ff, with the documents dd that hold it) that is commoner in positive documents than in clean ones, 0 below _SURE."""
     n, a, b = 1 << _BITS, pos.sum(), max(1, neg.sum())
-    seen = np.unique(f * len(pos) + doc)
-    ff, dd = seen // len(pos), seen % len(pos)
     p, q = np.bincount(ff[pos[dd]], minlength=n), np.bincount(ff[neg[dd]], minlength=n)
     rate = np.maximum(p + q, 1) / (a + b)
     g = 2 * (p * np.log(np.maximum(p, 1) / (a * rate)) + q * np.log(np.maximum(q, 1) / (b * rate)))
@@ -154,7 +184,10 @@ def train(texts: list[str], verdicts: list[list[str]], folds: int = 3, seed: int
     clean = sum(share.values()) == 0
     rng = np.random.default_rng(seed)
     fold = rng.integers(0, folds, n_doc)
-    tells = {c: _telling(f, sent_doc[s], share[c] >= 0.5, clean) for c in CATEGORIES if (share[c] >= 0.5).any()}
+    seen = np.sort(f * n_doc + sent_doc[s])
+    seen = seen[np.r_[True, seen[1:] != seen[:-1]]] if len(seen) else seen  # each feature of a document once
+    ff, dd = np.divmod(seen, max(1, n_doc))
+    tells = {c: _telling(ff, dd, share[c] >= 0.5, clean) for c in CATEGORIES if (share[c] >= 0.5).any()}
     telling = np.any([t > 0 for t in tells.values()], axis=0) if tells else np.zeros(1 << _BITS, dtype=bool)
     # sentences with some telling feature, and of the others as many as a fit in one task can hold
     near = (np.bincount(s, telling[f], n_sent) > 0) | (rng.random(n_sent) < max_plain / max(1, n_sent))
