@@ -60,6 +60,15 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more; what was made from it must be written itself."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].rpartition("-")[2] in {x.rpartition("-")[2] for x in _folders}:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written_to(df: DataFrame, folder: str, part: int) -> tuple[DataFrame, int]:
     """df written as one numbered part of a folder, read back, and its rows; the whole folder is read by ``folder/*``."""
     seen = Observation()
