@@ -14,7 +14,7 @@
    to be for sets of these sizes at the threshold, is the estimate on the union of the sketches.
 4. Exact Jaccard similarity of the shingle sets verifies each candidate pair of distinct texts.
 
-The chance to miss a pair just at the threshold is below 1 % (2.44 standard deviations) and falls fast above it. The work on a list grows with the square
+The chance to miss a pair just at the threshold is about 2 % (2.44 standard deviations; measured in the README) and falls fast above it. The work on a list grows with the square
 of its length, but lists of the commonest values are not posted as long as texts have rarer ones.
 
 Edge cases: null texts and texts with fewer than ``min_words`` or ``k`` words take part in no pair, but are members
@@ -185,12 +185,13 @@ def _pairer(threshold: float, sketch: int):
             out[ok, m >> 3] |= np.uint8(1) << (m & 7)
         return out.view(np.uint64)
 
-    def survivors(w: np.ndarray, least: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def survivors(wide: list[np.ndarray], least: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of rows of i (lists, m) and j (lists, n) whose sketches share enough."""
-        n = np.zeros((i.shape[0], i.shape[1], j.shape[1]), dtype=np.uint8)
-        for x in range(4):
-            c = w[:, x]
-            n += np.bitwise_count(c[i][:, :, None] & c[j][:, None, :])
+        shape = (i.shape[0], i.shape[1], j.shape[1])
+        both, ones, n = np.empty(shape, dtype=np.uint64), np.empty(shape, dtype=np.uint8), np.zeros(shape, dtype=np.uint8)
+        for c in wide:
+            np.bitwise_and(c[i][:, :, None], c[j][:, None, :], out=both)
+            n += np.bitwise_count(both, out=ones)
         hit = np.flatnonzero(((n >= least[i][:, :, None]) & (n >= least[j][:, None, :])).ravel())
         r, q = np.divmod(hit, i.shape[1] * j.shape[1])
         p, q = np.divmod(q, j.shape[1])
@@ -199,16 +200,21 @@ def _pairer(threshold: float, sketch: int):
     def groups(start: np.ndarray, size: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(rows i, rows j, is it a list with itself) with at most about _TILE pairs each."""
         one = side[start] == 2
-        for m in np.unique(size[one & (size > 1)]):
-            s = start[one & (size == m)]
-            if m * m <= _TILE:
-                step = max(1, _TILE // (m * m))
-                for a in range(0, len(s), step):
-                    i = s[a : a + step, None] + np.arange(m)
-                    yield i, i, True
-            else:
-                for x in s:
-                    yield from tiles(np.arange(x, x + m), np.arange(x, x + m), True)
+        short = one & (size > 1) & (size <= int(math.sqrt(_TILE)))
+        blank = len(side)  # a row that meets no other fills lists up to the next of few lengths
+        step = np.ceil(np.log(np.maximum(size, 8) / 8) / math.log(1.12) - 1e-9)
+        filled = np.where(size <= 8, size, np.ceil(8 * 1.12**step).astype(np.int64))
+        for m in np.unique(filled[short]):
+            s, n = start[short & (filled == m)], size[short & (filled == m)]
+            quarters = np.array_split(np.arange(m), 4 if m >= 64 else 1)  # each against itself and those behind: little is compared twice
+            many = max(1, _TILE // len(quarters[0]) ** 2)
+            for a in range(0, len(s), many):
+                i = [np.where(at < n[a : a + many, None], s[a : a + many, None] + at, blank) for at in quarters]
+                for x in range(len(i)):
+                    for y in range(x, len(i)):
+                        yield i[x], i[y], x == y
+        for x, m in zip(start[one & ~short & (size > 1)], size[one & ~short & (size > 1)]):
+            yield from tiles(np.arange(x, x + m), np.arange(x, x + m), True)
         for x, m in zip(start[~one], size[~one]):
             at = np.arange(x, x + m)
             yield from tiles(at[side[at] == 0], at[side[at] == 1], False)
@@ -228,12 +234,13 @@ def _pairer(threshold: float, sketch: int):
         o = np.lexsort((part, v))
         begin = (np.cumsum(length, dtype=np.int64) - length)[o]
         v, part, d, size, length = v[o], part[o], d[o], size[o].astype(np.int64), length[o].astype(np.int64)
-        w = bitmaps(marks, begin, length)
-        least = least_overlap(size, threshold, sketch).astype(np.uint8)
+        w = np.vstack([bitmaps(marks, begin, length), np.zeros((1, 4), dtype=np.uint64)])
+        wide = [np.ascontiguousarray(w[:, x]) for x in range(4)]
+        least = np.r_[least_overlap(size, threshold, sketch), 255].astype(np.uint8)
         start = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (part[1:] >> 2 != part[:-1] >> 2)])
         out, kept = [], 0
         for i, j, same in groups(start, np.diff(np.r_[start, len(v)]), part & 3):
-            a, b = survivors(w, least, i, j)
+            a, b = survivors(wide, least, i, j)
             if same:
                 a, b = a[a < b], b[a < b]
             n = np.bitwise_count(w[a] & w[b]).sum(1).astype(np.int64)
